@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, secrets, urlfilter
+from . import langid, packing, secrets, tokencount, urlfilter, warc
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_token_counts": tokencount.op2_token_counts,
+    "op3_warc": warc.op3_warc,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
 
 ORACLES = {
+    "op3_warc": warc.ORACLE,
     "op10_url_filters": urlfilter.ORACLE,
 }
