@@ -1,7 +1,8 @@
 """WARC archives with an index: write, select in the index, read coalesced byte ranges.
 
 Every input partition becomes one archive of gzip members, one per record, written under another
-name and moved into place when it is whole; a task that runs again writes the same file again. The
+name and moved into place when it is whole. Each attempt of a task names its own file, and the index
+that is committed has only those of the attempts that counted. The
 index has file, offset, length, URL and digest of each record. Reading sorts the selected index
 rows by file and offset, joins neighbouring ranges into one read, and checks each payload's digest.
 Files are reached through the file system that the folder's URI names.
@@ -10,6 +11,7 @@ Files are reached through the file system that the folder's URI names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -98,9 +100,9 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             found = []
             for r in b.to_pylist():
                 if out is None:
-                    name = f"part-{r['shard']:06d}.warc.gz"
+                    name = f"part-{r['shard']:06d}-{uuid.uuid4().hex}.warc.gz"
                     fs.create_dir(root, recursive=True)
-                    temporary = f"{root}/.{name}.{hashlib.sha1(repr(id(fs)).encode() + repr(r['key']).encode()).hexdigest()[:12]}"
+                    temporary = f"{root}/.{name}"
                     out = fs.open_output_stream(temporary)
                 body = (r["payload"] or "").encode()
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
