@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, fresh, plus, ragged, span_hashes, stored, word_bounds
+from .common import LOWER, blocks, flat, fresh, plus, ragged, span_hashes, stored, word_bounds
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; past it, the memory starts anew.
@@ -36,46 +36,109 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 what is left to the tokenizer's own splitting
+_KIND = np.full(256, 4, np.uint8)
+_KIND[33:127] = 3
+_KIND[[0x20, 9, 10, 11, 12, 13]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[[39, 60]] = 4  # contractions and special tokens begin with these
+_WHOLE = 5
+#: Atoms that are encoded in one string.
+_JOINED = 512
+
+
+def atoms(data: np.ndarray, off: np.ndarray):
+    """Starts and ends of the parts of words that the tokenizer treats apart, which are whole words, and each row's first (rows + 1).
+
+    Within a word of ASCII and Latin-1 letters, digits and punctuation these are the runs of letters, the
+    single digits and the runs of the rest, as in the tokenizer's pattern; any other word is one part."""
+    s, e, _ = word_bounds(data, off)
+    if not len(s):
+        return s, e, np.zeros(0, bool), np.zeros(len(off), np.int64)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF, all letters but two
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    odd = np.concatenate([[0], np.cumsum(kind == 4)])
+    whole = odd[e] > odd[s]
+    kind[ragged(s[whole], (e - s)[whole])] = _WHOLE
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    begins &= kind > 0
+    begins[s] = True
+    ends = np.zeros(len(data), bool)
+    ends[:-1] = begins[1:]
+    ends &= kind > 0
+    ends[e - 1] = True
+    first = np.flatnonzero(begins)
+    return first, np.flatnonzero(ends) + 1, kind[first] == _WHOLE, np.searchsorted(first, off)
+
+
 class WordIds:
-    """Token ids of texts, each distinct word encoded once: the tokenizer drops white space and merges nothing across it."""
+    """Token ids of texts, each distinct part of a word encoded once: the tokenizer merges nothing across parts."""
 
     def __init__(self, path: str) -> None:
         self.tok = _tokenizer(path)
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a part
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.start = [0]
+        self.start = np.zeros(1 << 16, np.int64)
+        self.n = 0
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Remember the ids of new parts; their numbers."""
+        n, end = self.n, int(self.start[self.n])
+        if n + len(sizes) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(max(len(sizes) + 1, len(self.start)), np.int64)])
+        if end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)])
+        self.ids[end : end + len(ids)] = ids
+        self.start[n + 1 : n + 1 + len(sizes)] = end + np.cumsum(sizes)
+        self.n += len(sizes)
+        return np.arange(n, n + len(sizes))
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.tok.encode_batch(parts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts that each end with the only token that can end one."""
+        ids, _ = self._encoded([" ".join(parts[k : k + _JOINED]) for k in range(0, len(parts), _JOINED)])
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) != len(parts) or ends[-1] != len(ids) - 1:
+            return self._encoded(parts)
+        return ids, np.diff(ends, prepend=-1)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, one after the other, and each row's first (rows + 1)."""
-        s, e, first = word_bounds(data, off)
+        s, e, whole, first = atoms(data, off)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        kept = ragged(s[whole], (e - s)[whole])
+        data, as_is = LOWER[data], data
+        data[kept] = as_is[kept]
         if len(self.known) > REMEMBERED:
             self.clear()
         h, at, back = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
         known = self.known
-        place = [known.get(x, -1) for x in h.tolist()]
-        new = [i for i, p in enumerate(place) if p < 0]
-        if new:
-            words = [data[s[k] : e[k]].tobytes().decode() for k in at[new].tolist()]
-            got = [x.ids for x in self.tok.encode_batch(words, add_special_tokens=False)]
-            end = self.start[-1]
-            total = end + sum(map(len, got))
-            if total > len(self.ids):
-                self.ids = np.concatenate([self.ids[:end], np.zeros(max(total, 2 * len(self.ids)) - end, np.uint32)])
-            for i, ids in zip(new, got):
-                known[int(h[i])] = place[i] = len(self.start) - 1
-                self.ids[end : end + len(ids)] = ids
-                end += len(ids)
-                self.start.append(end)
-        start = np.array(self.start, np.int64)
-        place = np.array(place, np.int64)[back]
-        size = start[place + 1] - start[place]
-        words_end = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[ragged(start[place], size)], words_end[first]
+        place = np.array([known.get(x, -1) for x in h.tolist()], np.int64)
+        raw = data.tobytes()
+        for odd, encode in ((False, self._joined), (True, self._encoded)):
+            new = np.flatnonzero((place < 0) & (whole[at] == odd))
+            if len(new):
+                parts = [raw[a:z].decode() for a, z in zip(s[at[new]].tolist(), e[at[new]].tolist())]
+                place[new] = self._add(*encode(parts))
+                known.update(zip(h[new].tolist(), place[new].tolist()))
+        place = place[back]
+        size = self.start[place + 1] - self.start[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[ragged(self.start[place], size)], ends[first]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
