@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, langid, packing, secrets, tokencount, urlfilter, warc
+from . import decontam, hmm, jaccard, langid, packing, secrets, tokencount, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
+    "op7_lm_scoring": hmm.op7_lm_scoring,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_url_filters": urlfilter.op10_url_filters,
