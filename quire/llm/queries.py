@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, hmm, jaccard, langid, packing, secrets, tokencount, urlfilter, warc
+from . import decontam, hmm, jaccard, langid, packing, secrets, simhash, tokencount, urlfilter, warc
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_token_counts": tokencount.op2_token_counts,
     "op3_warc": warc.op3_warc,
     "op4_secret_scans": secrets.op4_secret_scans,
+    "op5_document_fingerprints": simhash.op5_document_fingerprints,
     "op6_benchmark_decontamination": decontam.op6_benchmark_decontamination,
     "op7_lm_scoring": hmm.op7_lm_scoring,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
