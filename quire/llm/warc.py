@@ -103,7 +103,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                     name = f"part-{r['shard']:06d}-{uuid.uuid4().hex}.warc.gz"
                     fs.create_dir(root, recursive=True)
                     temporary = f"{root}/.{name}"
-                    out = fs.open_output_stream(temporary)
+                    out = fs.open_output_stream(temporary, compression=None)  # members are compressed one by one
                 body = (r["payload"] or "").encode()
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                 raw = pack.compress(_record(r["record_type"], r["url"], r["key"], r["payload_digest"], body, r["refers_to"], r["payload_bytes"])) + pack.flush()
