@@ -7,9 +7,12 @@ alone; frequent ones fall into a few classes (by hash) that are indexed by pairs
 prefixes are extended by one shingle per such class: if two prefixes shared no rare shingle and at
 most one of each frequent class, they would share fewer than they must.
 
-Classes under one index key are a group. Groups with the same members are one. A group is cut into
-blocks of bounded size; each two blocks meet in a task of their own, which counts exact
-intersections of whole sets and returns a spanning forest of the links it finds. No table of pairs
+Sets whose smallest shingles meet too few other sets' to be similar to any leave first. Classes
+under one index key are a group. Groups with the same members are one, and groups that hang together
+meet as one where that moves less data. A group is cut into
+blocks of bounded size; each two blocks meet in a task of their own and return a spanning forest of
+what they find. Heads (a prefix and more) meet first and rule out most pairs by an upper bound of the
+overlap; what is left hanging together then meets with whole sets, whose intersections are counted exactly. No table of pairs
 is made, no group meets in one task, and no link between two classes that the forest does not
 imply is lost. What counts as frequent changes the work done, never the result.
 """
@@ -39,7 +42,7 @@ class Settings:
     percent: int = 85
     frequent: int = 512
     most_frequent: int = 1_000_000
-    block: int = 400_000
+    block: int = 600_000
     broadcast_ids: int = 1_000_000
 
     def least_overlap(self, size):
@@ -91,22 +94,55 @@ def _prefix(size, s: Settings):
     return size - s.least_overlap(size) + 1
 
 
+def _head(size, s: Settings):
+    """Shingles that are kept of a set of this size: a prefix and more."""
+    return 8 * _prefix(size, s) // 5 + 8
+
+
+def _must_share(size, s: Settings):
+    """So many shingles of its head at least are in the head of any set that a set of this size links to.
+
+    Heads hold the first size - least overlap + l shingles of both sets, for the l of the smaller head, and so
+    share l of them. Partners have at least the least overlap's size; less 2 for rounding."""
+
+    def l_of(n):
+        return np.minimum(_head(n, s), n) - _prefix(n, s) + 1
+
+    return np.maximum(1, np.minimum(l_of(size), l_of(s.least_overlap(size))) - 2)
+
+
 def shingled(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Stored: doc_id, n (set size), key, and the smallest shingles, more than a prefix needs."""
+    """Stored: doc_id, n (set size), key, must (see _must_share), the smallest shingles (head), and a number for the row."""
 
     def cut(batches):
         for b in batches:
             data, off = flat(b.column(text))
             for i, j in blocks(off):
-                size, key, head = [], [], []
+                size, key, head, must = [], [], [], []
                 for own in _sets(data[off[i] : off[j]], off[i : j + 1] - off[i], s.n):
                     size.append(len(own))
                     key.append(_key(own))
-                    head.append(own[: int(1.6 * _prefix(len(own), s)) + 8])
-                yield pa.RecordBatch.from_arrays([b.column(doc_id).slice(i, j - i), pa.array(size, pa.int32()), pa.array(key, pa.binary()), _list(head)], names=["doc_id", "n", "key", "head"])
+                    head.append(own[: _head(len(own), s)])
+                    must.append(int(_must_share(len(own), s)))
+                yield pa.RecordBatch.from_arrays([b.column(doc_id).slice(i, j - i), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(must, pa.int32()), _list(head)], names=["doc_id", "n", "key", "must", "head"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return stored(docs.select(doc_id, text).mapInArrow(cut, f"doc_id {kind}, n int, key binary, head array<bigint>"), "shingled")
+    rows = docs.select(doc_id, text).mapInArrow(cut, f"doc_id {kind}, n int, key binary, must int, head array<bigint>")
+    return stored(rows.withColumn("rid", F.monotonically_increasing_id()), "shingled")
+
+
+def _possible(rows: DataFrame, rounds: int = 2) -> DataFrame:
+    """Stored: the rows whose heads share enough with other sets' heads to be linked with any. Exact: the others have no link.
+
+    Equal sets do not count as others; every round counts among the rows that the one before kept."""
+    rows = rows.where("n > 0")
+    for _ in range(rounds):
+        each = rows.select("rid", "must", F.xxhash64("key").alias("k"), F.explode("head").alias("t"))
+        shared = each.groupBy("t").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("t")
+        kept = each.select("rid", "must", "t").join(shared, "t").groupBy("rid", "must").agg(F.count(F.lit(1)).alias("c")).where("c >= must")
+        kept = stored(kept.select("rid"), "kept")
+        rows = stored(rows.join(kept, "rid", "left_semi"), "possible")
+    return rows
 
 
 def _frequent(classes: DataFrame, s: Settings) -> np.ndarray:
@@ -219,8 +255,8 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _links(values_a, off_a, values_b, off_b, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) whose sets are similar enough."""
+def _shared(values_a, off_a, values_b, off_b) -> np.ndarray:
+    """How many shingles each row of a has in common with each row of b."""
     na, nb = np.diff(off_a), np.diff(off_b)
     ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
     oa, ob = np.argsort(values_a, kind="stable"), np.argsort(values_b, kind="stable")
@@ -235,27 +271,40 @@ def _links(values_a, off_a, values_b, off_b, percent: int) -> tuple[np.ndarray,
         wa, wb = (ha - la)[few], (hb - lb)[few]
         pa_ = np.repeat(ragged(la[few], wa), np.repeat(wb, wa))
         pb_ = ragged(np.repeat(lb[few], wa), np.repeat(wb, wa))
-        counts += np.bincount(ra[pa_] * len(nb) + rb[pb_], minlength=counts.size).reshape(counts.shape).astype(np.int32)
+        np.add.at(counts.ravel(), ra[pa_] * len(nb) + rb[pb_], 1)
     for k in np.flatnonzero(~few).tolist():
         counts[np.ix_(ra[la[k] : ha[k]], rb[lb[k] : hb[k]])] += 1
-    union = na[:, None] + nb[None, :] - counts
-    return np.nonzero((100 * counts.astype(np.int64) >= percent * union) & (counts > 0))
+    return counts
+
+
+def _below(values_a, off_a, size_a, values_b, off_b, size_b) -> np.ndarray:
+    """How many of each a's head are not above the last one of each b's head; a head that is its whole set ends nowhere."""
+    last = np.where(np.diff(off_b) < size_b, values_b[np.maximum(off_b[1:] - 1, 0)] if len(values_b) else np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF))
+    return np.stack([np.searchsorted(values_a[off_a[i] : off_a[i + 1]], last, "right") for i in range(len(off_a) - 1)])
 
 
-def _compare(percent: int):
+def _compare(percent: int, heads: bool):
+    """For one meeting of two blocks: a spanning forest of its links; of heads, of what may be links."""
+
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
         sides = []
         for mine in (b1, b2) if b1 != b2 else (b1,):
             part = table.filter(pa.compute.equal(table.column("own"), mine)).combine_chunks()
-            sides.append((np.asarray(part.column("cid")), *_unsigned(part.column("items").combine_chunks())))
-        (ca, va, oa), (cb, vb, ob) = sides[0], sides[-1]
-        found = []
+            sides.append((np.asarray(part.column("cid")), np.asarray(part.column("n"), np.int64), *_unsigned(part.column("items").combine_chunks())))
+        if len(sides) == 2 and not (len(sides[0][0]) and len(sides[1][0])):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        (ca, na, va, oa), (cb, nb, vb, ob) = sides[0], sides[-1]
+        found: list[tuple[int, int]] = []
         step = max(1, 4_000_000 // max(1, len(cb)))
         for i in range(0, len(ca), step):  # a count matrix of bounded size
             j = min(len(ca), i + step)
-            x, y = _links(va[oa[i] : oa[j]], oa[i : j + 1] - oa[i], vb, ob, percent)
+            values, off, size = va[oa[i] : oa[j]], oa[i : j + 1] - oa[i], na[i:j]
+            common = _shared(values, off, vb, ob).astype(np.int64)
+            if heads:  # what is beyond the shorter head may all be common
+                common += np.minimum(size[:, None] - _below(values, off, size, vb, ob, nb), nb[None, :] - _below(vb, ob, nb, values, off, size).T)
+            x, y = np.nonzero(100 * common >= percent * (size[:, None] + nb[None, :] - common))
             keep = ca[i + x] != cb[y]
             found += _forest(ca[i + x][keep].tolist(), cb[y][keep].tolist())
         found = _forest([p for p, _ in found], [q for _, q in found])
@@ -264,6 +313,14 @@ def _compare(percent: int):
     return compare
 
 
+def _meet(units: DataFrame, sets: DataFrame, percent: int, heads: bool) -> DataFrame:
+    """units: (unit, nb, cid), nb the blocks that the unit is cut into; sets: (cid, n, items). Edges (a, b)."""
+    own = F.pmod(F.xxhash64("cid", "unit"), F.col("nb")).cast("int")
+    meet = units.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    meet = meet.select("unit", "cid", "own", F.least("own", "o").alias("b1"), F.greatest("own", "o").alias("b2")).join(sets.select("cid", "n", "items"), "cid")
+    return meet.groupBy("unit", "b1", "b2").applyInArrow(_compare(percent, heads), "a bigint, b bigint")
+
+
 def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links."""
     index = _index(classes, docs, doc_id, text, _frequent(classes, s), s)
@@ -274,13 +331,28 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settin
         .where("m > 1")
     )
     # groups with the same members are one
-    groups = groups.groupBy("m", "x", "y", "w").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("w") / s.block).cast("int").alias("nb"))
-    members = stored(index.join(groups, "sig").select("sig", "nb", "cid"), "members")
-    sets = _whole_sets(classes.join(members.select("cid").distinct(), "cid", "left_semi"), docs, doc_id, text, s)
-    own = F.pmod(F.xxhash64("cid", "sig"), F.col("nb")).cast("int")
-    meet = members.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    meet = meet.select("sig", "cid", "own", F.least("own", "o").alias("b1"), F.greatest("own", "o").alias("b2")).join(sets, "cid")
-    return meet.groupBy("sig", "b1", "b2").applyInArrow(_compare(s.percent), "a bigint, b bigint")
+    groups = groups.groupBy("m", "x", "y", "w").agg(F.min("sig").alias("sig")).select("sig", "w")
+    members = stored(index.join(groups, "sig").select("sig", "w", "cid", "n"), "members")
+    # heads are about a quarter of their sets
+    blocks_of = lambda w: F.ceil(F.col(w) / (4 * s.block))
+    # Groups overlap. Where it moves less, all that a chain of groups connects meets as one group instead.
+    star = members.groupBy("sig").agg(F.min("cid").alias("b"))
+    chains = components(members.join(star, "sig").select(F.col("cid").alias("a"), "b")).withColumnRenamed("node", "cid")
+    placed = stored(members.join(chains, "cid"), "placed")
+    by_group = placed.groupBy("label", "sig", "w").agg(F.lit(1)).groupBy("label").agg(F.sum(F.col("w") * blocks_of("w")).alias("apart"))
+    by_chain = placed.groupBy("label", "cid", "n").agg(F.lit(1)).groupBy("label").agg(F.sum("n").alias("whole"))
+    plan = by_chain.join(by_group, "label").withColumn("one", F.col("whole") * blocks_of("whole") <= F.col("apart"))
+    chosen = placed.join(plan, "label")
+    unit = F.when(F.col("one"), F.concat(F.lit("c"), F.col("label").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("sig").cast("string")))
+    size = F.when(F.col("one"), blocks_of("whole")).otherwise(blocks_of("w")).cast("int")
+    units = stored(chosen.select(unit.alias("unit"), size.alias("nb"), "cid").distinct(), "meetings")
+    # first by heads: what they rule out needs no whole sets
+    maybe = components(_meet(units, classes.select("cid", "n", F.col("head").alias("items")), s.percent, True)).withColumnRenamed("node", "cid")
+    maybe = stored(maybe.join(classes.select("cid", "n"), "cid"), "maybe")
+    weight = maybe.groupBy("label").agg(F.ceil(F.sum("n") / s.block).cast("int").alias("nb"))
+    units = maybe.join(weight, "label").select(F.col("label").alias("unit"), "nb", "cid")
+    sets = _whole_sets(classes.join(maybe.select("cid"), "cid", "left_semi"), docs, doc_id, text, s)
+    return _meet(units, sets.withColumn("n", F.size("items")), s.percent, False)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -290,12 +362,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
     equal texts are in one component. A null doc_id is never the smallest unless there is no other."""
     s = settings
     rows = shingled(docs, doc_id, text, s)
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("head").alias("head"))
+    classes = _possible(rows).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("head").alias("head"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     labels = components(links(classes, docs, doc_id, text, s))
-    named = classes.select("key", "id", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.groupBy("label").agg(F.min("id").alias("component"))
-    named = stored(named.join(least, "label").select("key", "component"), "named")
+    linked = classes.select("key", "id", "cid").join(labels.withColumnRenamed("node", "cid"), "cid")
+    least = linked.groupBy("label").agg(F.min("id").alias("component"))
+    linked = linked.join(least, "label").select("key", "component")
+    # sets without a link are a component of their own rows
+    named = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id")).join(linked, "key", "left")
+    named = stored(named.select("key", F.coalesce("component", "id").alias("component")), "named")
     out = rows.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
