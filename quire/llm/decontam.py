@@ -98,6 +98,8 @@ def _found(items: Items, words: np.ndarray, first: np.ndarray, threshold: float)
         return []
     lo = np.searchsorted(items.gram, h, "left")
     hit = np.flatnonzero(items.gram[np.minimum(lo, len(items.gram) - 1)] == h)
+    if not len(hit):
+        return []
     lo = lo[hit]
     size = np.searchsorted(items.gram, h[hit], "right") - lo
     row = np.searchsorted(start, hit, "right") - 1
