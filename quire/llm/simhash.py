@@ -31,21 +31,22 @@ def _weight(word):
     return F.when(n <= 4, F.least(n, F.lit(1))).otherwise(F.least(2 * n, (n - 3) * (n - 3)))
 
 
-def fingerprints(texts: DataFrame, text: str, by: list[str]) -> DataFrame:
-    """by columns and fp (64 bits), one row per value of the by columns, which must tell texts apart.
+def fingerprints(texts: DataFrame, text: str, by: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """by columns and fp (64 bits), one row per value of the by columns, which must tell texts apart, with numeric
+    columns that each text carries along.
 
     A null text counts as empty; without words the fingerprint is 0."""
-    words = texts.select(*by, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")).alias("__w"))
-    words = words.select(*by, F.xxhash64("__w").alias("__h"), _weight(F.col("__w")).alias("__k"))
+    words = texts.select(*by, *carry, F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")).alias("__w"))
+    words = words.select(*by, *carry, F.xxhash64("__w").alias("__h"), _weight(F.col("__w")).alias("__k"))
     lanes = F.lit((1 << 32) | 1)
     votes = [F.sum(F.shiftrightunsigned("__h", i).bitwiseAND(lanes) * F.col("__k")).alias(f"__v{i}") for i in range(32)]
-    sums = words.groupBy(*by).agg(F.sum("__k").alias("__all"), *votes)
+    sums = words.groupBy(*by).agg(F.sum("__k").alias("__all"), *votes, *[F.max(c).alias(c) for c in carry])
     bit = lambda lane, i: F.when(2 * lane > F.col("__all"), F.lit((1 << i) - (1 << 64 if i == 63 else 0))).otherwise(F.lit(0)).cast("long")
     fp = F.lit(0).cast("long")
     for i in range(32):
         v = F.col(f"__v{i}")
         fp = fp.bitwiseOR(bit(v.bitwiseAND(F.lit((1 << 32) - 1)), i)).bitwiseOR(bit(F.shiftrightunsigned(v, 32), i + 32))
-    return sums.select(*by, fp.alias("fp"))
+    return sums.select(*by, *carry, fp.alias("fp"))
 
 
 def _tables(fp) -> "F.Column":
@@ -88,7 +89,7 @@ def _place(key, bounds: list[int]) -> "F.Column":
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text (null: empty), next (the text after it by ascending doc_id; after the last, the first) and the hashes of both.
+    """doc_id, text (null: empty), next (the text after it by ascending doc_id; after the last, the first), the hashes of both and a number for the row.
 
     One shuffle of the texts, by ranges of ids of about equal numbers of rows; each range also gets the first
     row of the one after it. Null ids come last; rows with the same id go by their text's hash."""
@@ -108,13 +109,15 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     rows = rows.withColumn("p", place).withColumn("x1", F.xxhash64("text")).withColumn("x2", F.xxhash64("text", F.lit(1)))
     if not firsts:
-        return rows.select("doc_id", "text", F.lit("").alias("next"), "x1", "x2", F.lit(0).cast("long").alias("y1"), F.lit(0).cast("long").alias("y2"))
+        none = F.lit(0).cast("long")
+        return rows.select("doc_id", "text", F.lit("").alias("next"), "x1", "x2", none.alias("y1"), none.alias("y2"), none.alias("rid"))
     heads = spark.createDataFrame([(p, k, before[p]) for p, k in firsts], "p int, k long, back int")
     again = rows.join(F.broadcast(heads), ["p", "k"]).select("doc_id", "k", "text", F.col("back").alias("p"), "x1", "x2", F.lit(1).alias("extra"))
     rows = rows.withColumn("extra", F.lit(0)).unionByName(again)
     order = Window.partitionBy("p").orderBy("extra", "k", "x1", "x2")
     lead = [F.lead(c).over(order).alias(a) for c, a in (("text", "next"), ("x1", "y1"), ("x2", "y2"))]
-    return rows.select("doc_id", "text", "x1", "x2", "extra", *lead).where("extra = 0").drop("extra")
+    rid = F.shiftleft(F.col("p").cast("long"), 40) + F.row_number().over(order)
+    return rows.select("doc_id", "text", "x1", "x2", "extra", *lead, rid.alias("rid")).where("extra = 0").drop("extra")
 
 
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every: int = 50) -> DataFrame:
@@ -123,18 +126,21 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every:
     Edited: the last half of the characters (rounded down) is replaced by as many first ones of the next
     document. n_near: for ids divisible by `every`, rows whose fingerprint is within the radius (itself included); else null."""
     pairs = with_next(docs, doc_id, text)
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next, 1, cast(floor(length(text) / 2) as int))"))
-    pairs = pairs.withColumn("edited", edited).withColumn("e1", F.xxhash64("edited")).withColumn("e2", F.xxhash64("edited", F.lit(1)))
-    base = pairs.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "x1", "x2", "e1", "e2", "y1", "y2")
-    forms = pairs.select(F.explode(F.array(F.struct(F.col("x1").alias("a"), F.col("x2").alias("b"), F.col("text").alias("t")), F.struct(F.col("e1").alias("a"), F.col("e2").alias("b"), F.col("edited").alias("t")))).alias("f"), F.coalesce("doc_id", F.lit(0)).alias("k")).select("k", "f.*")
-    # by id too, so that copies of a text are not summed in one group
-    each = stored(fingerprints(forms, "t", ["k", "a", "b"]), "fingerprints")
-    by_text = each.groupBy("a", "b").agg(F.min("fp").alias("fp"))
-    out = base
-    for prefix, name in (("x", "fp"), ("e", "efp"), ("y", "nfp")):
-        out = out.join(by_text.select(F.col("a").alias(f"{prefix}1"), F.col("b").alias(f"{prefix}2"), F.col("fp").alias(name)), [f"{prefix}1", f"{prefix}2"], "left")
-    out = stored(out, "likeness")
+    half = "cast(floor(length(text) / 2) as int)"
+    edited = F.concat(F.expr(f"substring(text, 1, length(text) - {half})"), F.expr(f"substring(next, 1, {half})"))
+    pairs = pairs.withColumn("edited", edited)
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    # what a row returns goes along with its texts as numbers: the texts are shuffled and read once
+    parts = [F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10).cast("long").alias(f"s{i}") for i in range(4)]
+    form = lambda which, t: F.struct(F.lit(which).alias("form"), F.xxhash64(t).alias("a"), F.xxhash64(t, F.lit(1)).alias("b"), F.col(t).alias("t"))
+    forms = pairs.select("rid", F.col("doc_id"), F.length("text").cast("long").alias("n"), *parts, "y1", "y2", F.explode(F.array(form(0, "text"), form(1, "edited"))).alias("f"))
+    forms = forms.select("rid", "doc_id", "n", "s0", "s1", "s2", "s3", "y1", "y2", "f.*")
+    each = stored(fingerprints(forms, "t", ["rid", "form"], ("doc_id", "n", "s0", "s1", "s2", "s3", "y1", "y2", "a", "b")), "fingerprints")
+    own, other = each.where("form = 0"), each.where("form = 1").select("rid", F.col("fp").alias("efp"))
+    by_text = own.groupBy(F.col("a").alias("y1"), F.col("b").alias("y2")).agg(F.min("fp").alias("nfp"))
+    digest = F.lower(F.concat(*[F.lpad(F.hex(f"s{i}"), 16, "0") for i in range(4)]))
+    out = own.join(other, "rid").join(by_text, ["y1", "y2"], "left")
+    out = stored(out.select("doc_id", F.col("n").alias("n_chars"), digest.alias("edited_sha256"), "fp", "efp", "nfp"), "likeness")
     fps = out.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     asked = out.where(F.pmod(F.col("doc_id"), F.lit(every)) == 0).select("fp").distinct()
     near = within(asked, fps).join(fps, "fp").groupBy("query").agg(F.sum("n").alias("n_near")).withColumnRenamed("query", "fp")
