@@ -479,6 +479,12 @@ def blocks_outside_tables(spark, sf_dir):
     return X.outside_tables(_boxes(spark, sf_dir), _tables(spark, sf_dir)).select(*_KEY)
 
 
+@query(f"{_KINDS}, p AS (SELECT DISTINCT doc_id FROM k), n AS (SELECT doc_id, count(*) AS n FROM k WHERE kind NOT IN ('table', 'short', 'skipped') GROUP BY doc_id) SELECT p.doc_id, coalesce(n, 0) AS n FROM p LEFT JOIN n ON n.doc_id = p.doc_id")
+def block_counts(spark, sf_dir):
+    kinds = _kinds(spark, sf_dir)
+    return X.count_blocks(kinds.where(~F.col("kind").isin("table", "short", "skipped")), kinds)
+
+
 @query()
 def merge_paragraphs(spark, sf_dir):
     rows = _boxes(spark, sf_dir).withColumn("run", F.lit(0).cast("long"))

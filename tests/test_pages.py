@@ -133,3 +133,26 @@ def test_without_blocks(spark):
         plans.check_job("en", "es", spark.createDataFrame([], "x int"))
     with pytest.raises(ValueError):
         plans.check_job("en", "en", spark.range(1))
+
+
+def test_progress_and_streams(spark, tmp_path):
+    from quire import streaming
+
+    (tmp_path / "events").mkdir()
+    (tmp_path / "events" / "a.json").write_text('{"job":"j","kind":"progress","current":1,"total":3}\n{"job":"j","kind":"progress","current":0,"total":0}\n')
+    out = streaming.run_to_end(streaming.progress(spark, f"file://{tmp_path}/events"), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    assert sorted(r["percent"] for r in out.collect()) == [33, 100]
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([("b", 0, 1, "x"), ("a", 0, 0, "y"), ("b", 0, 0, "z")], "doc_id string, page_index int, block_no int, text string")
+    target = str(tmp_path)
+
+    def write(doc, rows):
+        with open(f"{target}/{doc}.txt", "w") as f:
+            f.write("".join(r["text"] for r in rows))
+
+    sources.write_documents(df, write)
+    assert (tmp_path / "a.txt").read_text() == "y" and (tmp_path / "b.txt").read_text() == "zx"
+    sources.write_run(df, f"file://{tmp_path}/run", {"label": "r", "n_blocks": 3})
+    assert spark.read.json(f"file://{tmp_path}/run/blocks").count() == 3
