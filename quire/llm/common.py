@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..work import folder
+
 #: Bytes of text handled at once inside a Python worker; longer single texts are handled alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _U64 = np.uint64
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder that the session names in spark.checkpoint.dir.
-
-    Only where that setting is absent or empty (as in tests) a temporary folder is used and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
-        with contextlib.suppress(Exception):
-            spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = work_dir(spark, name)
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -190,7 +176,3 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     if not len(ends) or not ends[-1]:
         return np.zeros(0, np.int64)
     return np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
-
-
-def batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)

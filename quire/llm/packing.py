@@ -26,7 +26,7 @@ from .common import LOWER, blocks, flat, fresh, plus, ragged, span_hashes, store
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; past it, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 @cache

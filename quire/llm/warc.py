@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, work_dir
+from ..work import folder
+from .common import stored
 
 #: Payloads below this many bytes are always stored.
 MIN_SHARED = 1000
@@ -88,13 +89,13 @@ def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least:
     )
 
 
-def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = MIN_SHARED) -> DataFrame:
-    """Archive every row (null payload: empty) below folder and return the index, a stored table."""
+def write(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = MIN_SHARED) -> DataFrame:
+    """Archive every row (null payload: empty) below base and return the index, a stored table."""
     rows = marked(pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(payload).cast("string").alias("payload")), "key", "payload", least)
     rows = rows.select("key", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to").withColumn("shard", F.spark_partition_id())
 
     def archive(batches):
-        fs, root = _filesystem(folder)
+        fs, root = _filesystem(base)
         out, name, at, temporary = None, None, 0, None
         for b in batches:
             found = []
@@ -108,7 +109,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                 raw = pack.compress(_record(r["record_type"], r["url"], r["key"], r["payload_digest"], body, r["refers_to"], r["payload_bytes"])) + pack.flush()
                 out.write(raw)
-                found.append({"key": r["key"], "url": r["url"], "file": f"{folder}/{name}", "offset": at, "length": len(raw), "payload_bytes": r["payload_bytes"], "payload_digest": r["payload_digest"], "record_type": r["record_type"], "refers_to": r["refers_to"]})
+                found.append({"key": r["key"], "url": r["url"], "file": f"{base}/{name}", "offset": at, "length": len(raw), "payload_bytes": r["payload_bytes"], "payload_digest": r["payload_digest"], "record_type": r["record_type"], "refers_to": r["refers_to"]})
                 at += len(raw)
             yield pa.RecordBatch.from_pylist(found, index_schema)
         if out is not None:
@@ -176,7 +177,7 @@ def read(index: DataFrame, gap: int = GAP, most: int = MOST) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    index = write(pages, work_dir(spark, "warc"))
+    index = write(pages, folder(spark, "warc"))
     return read(index).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
