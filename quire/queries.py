@@ -381,7 +381,14 @@ for _capital, _group in K.UNK_HEADS.items():
     _HEADS = rf"regexp_replace({_HEADS}, '⁇\s?({'|'.join(sorted(_group.split(), key=len, reverse=True))})([^a-záéíóúüñ]|$)', '{_capital}\1\2', 'g')"
 
 _cleaned("recover_unk", P.recover_heads_col, f"WITH {X1.OUTPUTS_SQL} SELECT doc_id, line_no, {_HEADS} AS clean FROM f5")
-_cleaned("collapse_ngrams", P.collapse_col)
+_COLLAPSED = f"""WITH RECURSIVE {X1.OUTPUTS_SQL}, w0 AS (SELECT doc_id, line_no, {_wd('out')} AS w FROM f5),
+r AS (SELECT doc_id, line_no, w, 6 AS n, 1 AS i, false AS ch, false AS done FROM w0
+ UNION ALL SELECT doc_id, line_no,
+  CASE WHEN hit THEN list_concat(w[1:i + n - 1], w[i + 2 * n:]) ELSE w END, CASE WHEN room THEN n WHEN n > 2 THEN n - 1 ELSE 6 END, CASE WHEN hit THEN i WHEN room THEN i + 1 ELSE 1 END,
+  CASE WHEN hit THEN true WHEN room OR n > 2 THEN ch ELSE false END, NOT room AND n = 2 AND NOT ch
+ FROM (SELECT *, i - 1 + 2 * n <= len(w) AS room, i - 1 + 2 * n <= len(w) AND lower(array_to_string(w[i:i + n - 1], ' ')) = lower(array_to_string(w[i + n:i + 2 * n - 1], ' ')) AS hit FROM r WHERE NOT done))
+SELECT doc_id, line_no, array_to_string(w, ' ') AS clean FROM r WHERE done"""
+_cleaned("collapse_ngrams", P.collapse_col, _COLLAPSED)
 _cleaned("truncate_output", P.truncate_col)
 _cleaned("compact_heading", lambda c: P.compact_col(c, F.lit(True)))
 _POLISHED = r"regexp_replace(out, '\s+([:;,.!?%])', '\1', 'g')"
@@ -485,7 +492,19 @@ def block_counts(spark, sf_dir):
     return X.count_blocks(kinds.where(~F.col("kind").isin("table", "short", "skipped")), kinds)
 
 
-@query()
+_PARAGRAPHS = f"""WITH RECURSIVE {X1.GEOMETRY_SQL},
+l AS (SELECT *, row_number() OVER p AS k, y0 - lag(y1) OVER p AS gap, min(x0) OVER (PARTITION BY doc_id, page_index) AS margin FROM f3 WINDOW p AS (PARTITION BY doc_id, page_index ORDER BY block_no)),
+g AS (SELECT doc_id, page_index, coalesce(quantile_cont(gap, 0.5), 0) AS ld FROM l GROUP BY doc_id, page_index),
+m AS MATERIALIZED (SELECT l.*, greatest(ld * 1.8, ld + 5) AS lim FROM l JOIN g USING (doc_id, page_index)),
+r AS (SELECT doc_id, page_index, line_no, block_no, k, 0 AS para, x0 AS lo, x1 AS hi, y1 AS bottom FROM m WHERE k = 1
+ UNION ALL SELECT m.doc_id, m.page_index, m.line_no, m.block_no, m.k, CASE WHEN new THEN para + 1 ELSE para END, CASE WHEN new THEN x0 ELSE least(lo, x0) END, CASE WHEN new THEN x1 ELSE greatest(hi, x1) END, y1
+ FROM (SELECT m.*, r.para, r.lo, r.hi, (x0 > margin + 6 OR y0 - bottom > lim OR least(x1, hi) - greatest(x0, lo) < 0) AS new FROM r JOIN m ON m.doc_id = r.doc_id AND m.page_index = r.page_index AND m.k = r.k + 1) m),
+j AS (SELECT r.doc_id, r.page_index, r.line_no, r.para, m.x0, m.y0, m.x1, m.y1, m.block_no, margin FROM r JOIN m ON m.doc_id = r.doc_id AND m.line_no = r.line_no)
+SELECT doc_id, page_index, line_no, para, CASE WHEN count(*) OVER o > 1 THEN margin ELSE x0 END AS p_x0, min(y0) OVER o AS p_y0, max(x1) OVER o AS p_x1, max(y1) OVER o AS p_y1,
+ CASE WHEN count(*) OVER o > 1 THEN greatest(0.0, arg_min(x0, block_no) OVER o - margin) ELSE 0.0 END AS indent FROM j WINDOW o AS (PARTITION BY doc_id, page_index, para)"""
+
+
+@query(_PARAGRAPHS)
 def merge_paragraphs(spark, sf_dir):
     rows = _boxes(spark, sf_dir).withColumn("run", F.lit(0).cast("long"))
     return X.paragraphs(rows).select("doc_id", "page_index", F.col("block_no").cast("long").alias("line_no"), "para", "p_x0", "p_y0", "p_x1", "p_y1", "indent")
