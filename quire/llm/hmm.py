@@ -307,7 +307,9 @@ class Scorer:
         return Model.counted(rows[0], rows[1 : 1 + k], rows[1 + k :], self.weight)
 
     def score(self, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-        """The kept columns with n_tokens, n_known, train_tokens, base_score and score, one row per row of docs."""
+        """The kept columns with n_tokens, n_known, train_tokens, base_score and score, one row per row of docs.
+
+        A null text is an empty one: its end is its only token. Without training texts every word is unknown."""
         s, model, shared, total = self.s, self.model, self.shared, self.total
         bottom = np.log10(self.total + 1 * (self.distinct + 1))
         in_class = np.log10(self.class_total + self.class_distinct + 1)

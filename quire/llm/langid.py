@@ -243,7 +243,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 def identify(docs: DataFrame, net: Network | None, text: str = "text", settings: Settings = Settings(), pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its probability; und and 0 where the text is null or has no letter.
 
-    Every row gives one row; only the text is looked at."""
+    Every row gives one row; only the text is looked at. Columns of those names are replaced."""
+    docs = docs.drop(pred, score)
     langs = net.langs if net else []
     weights = net.p if net else {}
     hidden = net.h if net else 0

@@ -358,7 +358,8 @@ def _code_points(data: np.ndarray, at: list[int]) -> list[int]:
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secrets") -> DataFrame:
     """docs with one more column: array of (kind, start, end), code points, end exclusive, by start, then as rules are listed.
 
-    A null or empty text has an empty array. Every row of the input gives one row."""
+    A null or empty text has an empty array. Every row of the input gives one row. A column of that name is replaced."""
+    docs = docs.drop(out)
     schema = plus(docs.schema, f"{out} array<struct<kind:string,start:bigint,end:bigint>>")
 
     def scan(batches):

@@ -124,7 +124,8 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", every:
     """Per row: fingerprints of the text and of its edited form, their likenesses, and n_near.
 
     Edited: the last half of the characters (rounded down) is replaced by as many first ones of the next
-    document. n_near: for ids divisible by `every`, rows whose fingerprint is within the radius (itself included); else null."""
+    document. Null texts are empty; equal texts have equal fingerprints, texts without words 0; repeated rows each give
+    a row and follow one another. n_near: for ids divisible by `every`, rows whose fingerprint is within the radius (itself included); else null."""
     pairs = with_next(docs, doc_id, text)
     half = "cast(floor(length(text) / 2) as int)"
     edited = F.concat(F.expr(f"substring(text, 1, length(text) - {half})"), F.expr(f"substring(next, 1, {half})"))

@@ -120,7 +120,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", n_words:
     """docs with the number of words (runs without ASCII white space) and of their greedy longest-match pieces.
 
     A null or empty text has none of either. A word that the pieces cannot make up counts as one.
-    vocabulary: a path that every worker can open. Every row gives one row."""
+    vocabulary: a path that every worker can open. Every row gives one row. Columns of those names are replaced."""
+    docs = docs.drop(n_words, n_tokens)
     schema = plus(docs.schema, f"`{n_words}` bigint, `{n_tokens}` bigint")
 
     def count(batches):

@@ -570,6 +570,22 @@ def test_urls(spark):
     assert {r["verdict"] for r in urlfilter.apply_rules(pages, rules=(), more=()).collect()} == {"allow"}
 
 
+# -- columns whose names clash
+
+
+def test_clashing_columns(docs, tokenizer):
+    odd = docs.select("*", *[F.lit("x").alias(c) for c in ("lang_pred", "score", "secrets", "n_words", "n_tokens", "piece", "length", "sequence_id", "offset", "rid", "key", "n", "head", "cid", "t", "h", "item_id", "__pred")])
+    assert secrets.find_secrets(odd).where("size(secrets) > 0").count() >= 1
+    assert langid.identify(odd, None).schema["score"].dataType.simpleString() == "double"
+    assert tokencount.count_tokens(odd, str(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.tiktoken"))).schema["n_words"].dataType.simpleString() == "bigint"
+    assert secrets.redact(odd).columns == odd.columns
+    assert packing.pack_documents(odd, tokenizer).count() >= odd.count()
+    assert jaccard.join(odd).count() == odd.count()
+    assert simhash.compare(odd).count() == odd.count()
+    assert corpus_pipeline.language_id(odd.sparkSession, odd, "").columns == odd.columns
+    assert corpus_pipeline.ngram_jaccard_join(odd.sparkSession, odd, "").columns == odd.columns
+
+
 # -- queries and the pipeline
 
 
