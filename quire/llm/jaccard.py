@@ -10,7 +10,7 @@ most one of each frequent class, they would share fewer than they must.
 Sets whose smallest shingles meet too few other sets' to be similar to any leave first. Classes
 under one index key are a group. Groups with the same members are one, and groups that hang together
 meet as one where that moves less data. A group is cut into
-blocks of bounded size; each two blocks meet in a task of their own and return a spanning forest of
+blocks of bounded size; each two blocks meet in a task of their own and return the components of
 what they find. Heads (a prefix and more) meet first and rule out most pairs by an upper bound of the
 overlap; what is left hanging together then meets with whole sets, whose intersections are counted exactly. No table of pairs
 is made, no group meets in one task, and no link between two classes that the forest does not
@@ -43,7 +43,7 @@ class Settings:
     frequent: int = 512
     most_frequent: int = 1_000_000
     block: int = 600_000
-    broadcast_ids: int = 1_000_000
+    broadcast_ids: int = 200_000
 
     def least_overlap(self, size):
         """Shingles that a set of this size shares with any set it links to."""
@@ -237,7 +237,8 @@ def _whole_sets(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s:
     return stored(sets.select("cid", "items"), "sets").dropDuplicates(["cid"])
 
 
-def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def _stars(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """The links' components: each member with the smallest one."""
     parent: dict[int, int] = {}
 
     def top(x):
@@ -246,13 +247,11 @@ def _forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    out = []
     for x, y in zip(a, b):
         p, q = top(x), top(y)
         if p != q:
-            parent[p] = q
-            out.append((x, y))
-    return out
+            parent[max(p, q)] = min(p, q)
+    return [(x, top(x)) for x in list(parent) if top(x) != x]
 
 
 def _shared(values_a, off_a, values_b, off_b) -> np.ndarray:
@@ -284,17 +283,21 @@ def _below(values_a, off_a, size_a, values_b, off_b, size_b) -> np.ndarray:
 
 
 def _compare(percent: int, heads: bool):
-    """For one meeting of two blocks: a spanning forest of its links; of heads, of what may be links."""
+    """For one meeting of two blocks: the components of its links as stars; of heads, of what may be links.
+
+    done: the meeting is all of a unit that shares no set with another one, so its stars are final."""
+    types = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("done", pa.bool_())])
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         b1, b2 = table.column("b1")[0].as_py(), table.column("b2")[0].as_py()
+        done = table.column("sure")[0].as_py() and table.column("nb")[0].as_py() == 1
         sides = []
         for mine in (b1, b2) if b1 != b2 else (b1,):
             part = table.filter(pa.compute.equal(table.column("own"), mine)).combine_chunks()
             sides.append((np.asarray(part.column("cid")), np.asarray(part.column("n"), np.int64), *_unsigned(part.column("items").combine_chunks())))
         if len(sides) == 2 and not (len(sides[0][0]) and len(sides[1][0])):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return types.empty_table()
         (ca, na, va, oa), (cb, nb, vb, ob) = sides[0], sides[-1]
         found: list[tuple[int, int]] = []
         step = max(1, 4_000_000 // max(1, len(cb)))
@@ -306,23 +309,27 @@ def _compare(percent: int, heads: bool):
                 common += np.minimum(size[:, None] - _below(values, off, size, vb, ob, nb), nb[None, :] - _below(vb, ob, nb, values, off, size).T)
             x, y = np.nonzero(100 * common >= percent * (size[:, None] + nb[None, :] - common))
             keep = ca[i + x] != cb[y]
-            found += _forest(ca[i + x][keep].tolist(), cb[y][keep].tolist())
-        found = _forest([p for p, _ in found], [q for _, q in found])
-        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+            found += _stars(ca[i + x][keep].tolist(), cb[y][keep].tolist())
+        found = _stars([p for p, _ in found], [q for _, q in found])
+        return pa.table({"a": [p for p, _ in found], "b": [q for _, q in found], "done": [done] * len(found)}, schema=types)
 
     return compare
 
 
 def _meet(units: DataFrame, sets: DataFrame, percent: int, heads: bool) -> DataFrame:
-    """units: (unit, nb, cid), nb the blocks that the unit is cut into; sets: (cid, n, items). Edges (a, b)."""
+    """units: (unit, nb, sure, cid), nb the blocks that the unit is cut into, sure: no other unit has its sets.
+    sets: (cid, n, items). (node, label) of every set with a link."""
     own = F.pmod(F.xxhash64("cid", "unit"), F.col("nb")).cast("int")
     meet = units.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    meet = meet.select("unit", "cid", "own", F.least("own", "o").alias("b1"), F.greatest("own", "o").alias("b2")).join(sets.select("cid", "n", "items"), "cid")
-    return meet.groupBy("unit", "b1", "b2").applyInArrow(_compare(percent, heads), "a bigint, b bigint")
+    meet = meet.select("unit", "nb", "sure", "cid", "own", F.least("own", "o").alias("b1"), F.greatest("own", "o").alias("b2")).join(sets.select("cid", "n", "items"), "cid")
+    found = stored(meet.groupBy("unit", "b1", "b2").applyInArrow(_compare(percent, heads), "a bigint, b bigint, done boolean"), "found")
+    final = found.where("done")
+    final = final.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(final.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    return final.unionByName(components(found.where("NOT done")))
 
 
 def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Edges (a, b) between classes whose components are those of all links."""
+    """(node, label) of every class with a link: label is the smallest class of its component."""
     index = _index(classes, docs, doc_id, text, _frequent(classes, s), s)
     groups = (
         index.where("sig IS NOT NULL")
@@ -341,16 +348,17 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settin
     placed = stored(members.join(chains, "cid"), "placed")
     by_group = placed.groupBy("label", "sig", "w").agg(F.lit(1)).groupBy("label").agg(F.sum(F.col("w") * blocks_of("w")).alias("apart"))
     by_chain = placed.groupBy("label", "cid", "n").agg(F.lit(1)).groupBy("label").agg(F.sum("n").alias("whole"))
-    plan = by_chain.join(by_group, "label").withColumn("one", F.col("whole") * blocks_of("whole") <= F.col("apart"))
+    # a table, so that its size is known: a large chain's rows need no shuffle by chain while there are few chains
+    plan = stored(by_chain.join(by_group, "label").withColumn("one", F.col("whole") * blocks_of("whole") <= F.col("apart")), "plan")
     chosen = placed.join(plan, "label")
     unit = F.when(F.col("one"), F.concat(F.lit("c"), F.col("label").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("sig").cast("string")))
     size = F.when(F.col("one"), blocks_of("whole")).otherwise(blocks_of("w")).cast("int")
-    units = stored(chosen.select(unit.alias("unit"), size.alias("nb"), "cid").distinct(), "meetings")
+    units = stored(chosen.select(unit.alias("unit"), size.alias("nb"), F.col("one").alias("sure"), "cid").distinct(), "meetings")
     # first by heads: what they rule out needs no whole sets
-    maybe = components(_meet(units, classes.select("cid", "n", F.col("head").alias("items")), s.percent, True)).withColumnRenamed("node", "cid")
+    maybe = _meet(units, classes.select("cid", "n", F.col("head").alias("items")), s.percent, True).withColumnRenamed("node", "cid")
     maybe = stored(maybe.join(classes.select("cid", "n"), "cid"), "maybe")
     weight = maybe.groupBy("label").agg(F.ceil(F.sum("n") / s.block).cast("int").alias("nb"))
-    units = maybe.join(weight, "label").select(F.col("label").alias("unit"), "nb", "cid")
+    units = maybe.join(weight, "label").select(F.col("label").alias("unit"), "nb", F.lit(True).alias("sure"), "cid")
     sets = _whole_sets(classes.join(maybe.select("cid"), "cid", "left_semi"), docs, doc_id, text, s)
     return _meet(units, sets.withColumn("n", F.size("items")), s.percent, False)
 
@@ -364,7 +372,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
     rows = shingled(docs, doc_id, text, s)
     classes = _possible(rows).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("head").alias("head"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    labels = components(links(classes, docs, doc_id, text, s))
+    labels = links(classes, docs, doc_id, text, s)
     linked = classes.select("key", "id", "cid").join(labels.withColumnRenamed("node", "cid"), "cid")
     least = linked.groupBy("label").agg(F.min("id").alias("component"))
     linked = linked.join(least, "label").select("key", "component")
