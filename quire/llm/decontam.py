@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare words as seeds, exact bounds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits and of anything above ASCII, A-Z in lower case. How many
-documents have each n-gram of the benchmark is counted over the whole corpus; each item's rarest
-n-grams are its seeds. A document that has a seed is a candidate for the item; the words around the
-seeds are aligned with the item's words (match 2, mismatch -1, gap -1), and the best local score,
-as a share of what a full copy would have, decides. Edited and cut copies keep most of it.
+Words are runs of ASCII letters and digits and of anything above ASCII, A-Z in lower case. A document
+matches an item where the best local alignment of their words (match 2, mismatch -1, gap -1) has the
+threshold's share of what a full copy would have. What is looked up only saves work, no match is lost:
+such an alignment has at least `need` of the item's words within `span` words of the document. The most
+frequent words of an item (counted over the whole corpus) are left out while they are fewer than `need`;
+the rest of `need` must be met among its other words, the seeds. Where they are, every word of the
+document counts 2 if the item has it, else -1: an alignment's score is at most the best sum of a stretch.
 """
 
 from __future__ import annotations
@@ -16,21 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, blocks, flat, gram_hashes, plus, signed, span_hashes, word_bounds
+from .common import LOWER, NOT_ALNUM, blocks, flat, plus, ragged, span_hashes, word_bounds
 
 
 @dataclass(frozen=True)
 class Settings:
-    """seeds: rarest n-grams per item that are looked up. threshold: least share of a full copy's score.
-    min_words: shorter items are never matched. block_words: words of the benchmark that are broadcast at once; a larger benchmark takes several passes."""
+    """threshold: least share of a full copy's score. min_words: shorter items are never matched.
+    common: share of the words a match needs that may be left out of the seeds (a matter of speed only).
+    block_words: words of the benchmark that are broadcast at once; a larger benchmark takes several passes."""
 
-    n: int = 3
-    seeds: int = 32
     threshold: float = 0.4
     min_words: int = 6
+    common: float = 0.75
     block_words: int = 2_000_000
 
 
+#: Pairs of a word and an item, and cells of a table of windows, that are handled at once.
+PAIRS, CELLS = 4_000_000, 1 << 20
+
+
 def _words(data: np.ndarray, off: np.ndarray):
     low = LOWER[data]
     s, e, first = word_bounds(low, off, NOT_ALNUM)
@@ -38,39 +44,44 @@ def _words(data: np.ndarray, off: np.ndarray):
 
 
 class Items:
-    """The benchmark's items of one pass: word hashes, and a sorted table of n-grams with where they stand."""
-
-    def __init__(self, ids: list, words: list[np.ndarray], n: int) -> None:
-        self.ids, self.words, self.n = ids, words, n
-        item, place, gram = [], [], []
-        for i, w in enumerate(words):
-            h, _ = gram_hashes(w, np.array([0, len(w)]), n)
-            item.append(np.full(len(h), i))
-            place.append(np.arange(len(h)))
-            gram.append(h)
-        gram, item, place = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((gram, np.uint64), (item, np.int64), (place, np.int64)))
-        self._sort(gram.astype(np.uint64), item.astype(np.int64), place.astype(np.int64))
-
-    def _sort(self, gram, item, place):
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
-
-    def rarest(self, count: dict[int, int], seeds: int) -> None:
-        """Keep each item's rarest n-grams; those that no document has cannot be met."""
-        if not len(self.gram):
-            return
-        c = np.array([count.get(g, 0) for g in signed(self.gram).tolist()])
-        order = np.lexsort((self.gram, c, self.item))
-        order = order[c[order] > 0]
-        it, g = self.item[order], self.gram[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (it[1:] != it[:-1]) | (g[1:] != g[:-1])
-        nth = np.cumsum(new)
-        begin = np.ones(len(order), bool)
-        begin[1:] = it[1:] != it[:-1]
-        base = np.maximum.accumulate(np.where(begin, nth, 0))
-        order = order[nth - base < seeds]
-        self._sort(self.gram[order], self.item[order], self.place[order])
+    """The benchmark's items of one pass: their words as places in a sorted vocabulary, and which items have a word as seed."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], threshold: float) -> None:
+        self.ids = ids
+        self.vocab = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
+        self.words = [np.searchsorted(self.vocab, w).astype(np.int32) for w in words]
+        self.length = np.array([len(w) for w in words], np.int64)
+        self.least = 2 * threshold * self.length - 1e-6
+        # 2 a match, -1 for each other word: fewest matches, and most words of the document that an alignment reaches over
+        self.need = np.maximum(np.ceil(threshold * self.length - 1e-6).astype(np.int64), 1)
+        self.span = np.floor((3 - 2 * threshold) * self.length + 1e-6).astype(np.int64)
+
+    def seed(self, count: np.ndarray, common: float) -> None:
+        """Leave out each item's most frequent words, `common` of the needed ones and one less than them at most."""
+        item, word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.rest = self.need.copy()
+        for i, w in enumerate(self.words):
+            u, times = np.unique(w, return_counts=True)
+            left, seeds = min(int(self.need[i] * common), int(self.need[i]) - 1), []
+            for k in np.argsort(-count[u], kind="stable").tolist():
+                if times[k] <= left:
+                    left -= times[k]
+                    self.rest[i] -= times[k]
+                else:
+                    seeds.append(u[k])
+            item.append(np.full(len(seeds), i))
+            word.append(np.array(seeds, np.int64))
+        item, word = np.concatenate(item), np.concatenate(word)
+        self.item = item[np.argsort(word, kind="stable")]
+        self.size = np.bincount(word, minlength=len(self.vocab) + 1)
+        self.start = np.cumsum(self.size) - self.size
+
+    def coded(self, words: np.ndarray) -> np.ndarray:
+        """Places of words in the vocabulary; its length for all others."""
+        if not len(self.vocab):
+            return np.zeros(len(words), np.int32)
+        at = np.minimum(np.searchsorted(self.vocab, words), len(self.vocab) - 1)
+        return np.where(self.vocab[at] == words, at, len(self.vocab)).astype(np.int32)
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -91,50 +102,88 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best / (2 * max(len(item), 1))
 
 
-def _found(items: Items, words: np.ndarray, first: np.ndarray, threshold: float):
-    """(row, item, score) of the rows' words, one for each row and item that reach the threshold."""
-    h, start = gram_hashes(words, first, items.n)
-    if not len(h) or not len(items.gram):
-        return []
-    lo = np.searchsorted(items.gram, h, "left")
-    hit = np.flatnonzero(items.gram[np.minimum(lo, len(items.gram) - 1)] == h)
-    if not len(hit):
-        return []
-    lo = lo[hit]
-    size = np.searchsorted(items.gram, h[hit], "right") - lo
-    row = np.searchsorted(start, hit, "right") - 1
-    place = hit - start[row]
-    at = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    row, place = np.repeat(row, size), np.repeat(place, size)
-    item, begin = items.item[at], place - items.place[at]
-    order = np.lexsort((begin, item, row))
-    row, item, begin = row[order], item[order], begin[order]
-    length = np.array([len(w) for w in items.words])[item]
-    # seeds of one copy begin it at nearly the same word
-    cut = np.ones(len(row), bool)
-    cut[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[1:] // 2 + 8)
-    head = np.flatnonzero(cut)
-    tail = np.append(head[1:], len(row)) - 1
-    row, item, lo_word, hi_word, length = row[head], item[head], begin[head], begin[tail], length[head]
-    slack = np.maximum(8, length // 4)
-    a = np.maximum(first[row] + lo_word - slack, first[row])
-    z = np.minimum(first[row] + hi_word + length + slack, first[row + 1])
-    best: dict[tuple[int, int], float] = {}
-    order = np.lexsort((z - a, item))
+def _windows(items: Items, code: np.ndarray, first: np.ndarray):
+    """(item, row, first word, end) of the places with enough seeds of an item."""
+    size = items.size[code]
+    total = np.concatenate([[0], np.cumsum(size)])
+    reach = int(items.span.max(initial=1))
+    x, out = 0, []
+    while x < len(code):
+        # pieces overlap by what one alignment can reach over
+        y = max(int(np.searchsorted(total, total[x] + PAIRS, "right")) - 1, x + 2 * reach)
+        y = min(y, len(code))
+        at = x + np.flatnonzero(size[x:y])
+        item = items.item[ragged(items.start[code[at]], size[at])]
+        key = item * len(code) + np.repeat(at, size[at])
+        key.sort()
+        item, place = np.divmod(key, len(code))
+        row = np.searchsorted(first, place, "right") - 1
+        k = np.arange(len(key))
+        last = k + items.rest[item] - 1
+        k = k[last < len(key)]
+        last = last[k]
+        k_ok = (item[last] == item[k]) & (row[last] == row[k]) & (place[last] - place[k] < items.span[item[k]])
+        k, last = k[k_ok], last[k_ok]
+        item, row, span = item[k], row[k], items.span[item[k]]
+        a = np.maximum(place[last] - span + 1, first[row])
+        z = np.minimum(place[k] + span, first[row + 1])
+        if len(k):
+            cut = np.ones(len(k), bool)
+            cut[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (a[1:] > z[:-1])
+            head = np.flatnonzero(cut)
+            out.append((item[head], row[head], a[head], z[np.append(head[1:], len(k)) - 1]))
+        x = y if y == len(code) else y - reach
+    return tuple(map(np.concatenate, zip(*out))) if out else None
+
+
+def _batches(item: np.ndarray, width: np.ndarray):
+    """Windows of one item and of similar width, few enough for one table."""
+    order = np.lexsort((width, item))
+    item, width = item[order], width[order]
     i = 0
     while i < len(order):
+        end = int(np.searchsorted(item, item[i], "right"))
         j = i + 1
-        while j < len(order) and item[order[j]] == item[order[i]] and j - i < 256:
+        while j < end and (j + 1 - i) * width[j] <= CELLS:
             j += 1
-        k = order[i:j]
-        width = int((z[k] - a[k]).max())
-        grid = a[k][:, None] + np.arange(width)
-        windows = np.where(grid < z[k][:, None], words[np.minimum(grid, len(words) - 1)], np.uint64(0))
-        for r, score in zip(row[k].tolist(), align(items.words[item[k[0]]], windows).tolist()):
-            if score >= threshold:
-                key = (r, int(item[k[0]]))
-                best[key] = max(best.get(key, 0), score)
+        yield int(item[i]), order[i:j], int(width[j - 1])
         i = j
+
+
+def _table(items: Items, code: np.ndarray, a: np.ndarray, z: np.ndarray, width: int) -> np.ndarray:
+    grid = a[:, None] + np.arange(width)
+    return np.where(grid < z[:, None], code[np.minimum(grid, len(code) - 1)], np.int32(len(items.vocab)))
+
+
+def _found(items: Items, words: np.ndarray, first: np.ndarray):
+    """(row, item, score) of the rows' words, one for each row and item that reach the threshold."""
+    code = items.coded(words)
+    some = _windows(items, code, first) if len(code) and len(items.ids) else None
+    if some is None:
+        return []
+    item, row, a, z = some
+    has = np.zeros(len(items.vocab) + 1, bool)
+    keep = np.zeros(len(item), bool)
+    for i, k, width in _batches(item, z - a):
+        has[items.words[i]] = True
+        sums = np.zeros((len(k), width + 1), np.int32)
+        np.cumsum(np.where(has[_table(items, code, a[k], z[k], width)], np.int32(2), np.int32(-1)), axis=1, dtype=np.int32, out=sums[:, 1:])
+        has[items.words[i]] = False
+        ends = sums - np.minimum.accumulate(sums, axis=1) >= items.least[i]
+        good = np.flatnonzero(ends.any(1))
+        if len(good):
+            k, sums, ends = k[good], sums[good], ends[good]
+            keep[k] = True
+            # all alignments that reach the threshold lie between the first word that can begin one and the last that can end one
+            begins = np.maximum.accumulate(sums[:, ::-1], axis=1)[:, ::-1] - sums >= items.least[i]
+            z[k] = np.minimum(z[k], a[k] + width - np.argmax(ends[:, ::-1], axis=1))
+            a[k] += np.argmax(begins, axis=1)
+    item, row, a, z = item[keep], row[keep], a[keep], z[keep]
+    best: dict[tuple[int, int], float] = {}
+    for i, k, width in _batches(item, z - a):
+        for r, score in zip(row[k].tolist(), align(items.words[i], _table(items, code, a[k], z[k], width)).tolist()):
+            if score * 2 * items.length[i] >= items.least[i]:
+                best[r, i] = max(best.get((r, i), 0), score)
     return [(r, i, s) for (r, i), s in sorted(best.items())]
 
 
@@ -159,47 +208,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
             if len(w) >= s.min_words:
                 ids.append(r["i"])
                 words.append(w)
-        items = Items(ids, words, s.n)
-        grams = np.unique(items.gram)
-        counted = docs.select(text).mapInArrow(_counter(spark.sparkContext.broadcast(grams), text, s.n), "gram bigint, n bigint")
-        # as many rows as the block has n-grams
-        count = {r[0]: r[1] for r in counted.groupBy("gram").agg(F.sum("n")).collect()}
-        items.rarest(count, s.seeds)
-        part = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_aligner(spark.sparkContext.broadcast(items), text, keep, s.threshold), schema)
+        items = Items(ids, words, s.threshold)
+        counted = docs.select(text).mapInArrow(_counter(spark.sparkContext.broadcast(items), text), "word bigint, n bigint")
+        # as many rows as the block has words
+        count = np.zeros(len(items.vocab), np.int64)
+        for r in counted.groupBy("word").agg(F.sum("n")).collect():
+            count[r[0]] = r[1]
+        items.seed(count, s.common)
+        part = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_aligner(spark.sparkContext.broadcast(items), text, keep), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _counter(shared, text: str, n: int):
-    """Documents with each n-gram of the benchmark, by task."""
+def _counter(shared, text: str):
+    """How often a task's texts have each word of the benchmark."""
 
     def count(batches):
-        grams = shared.value
-        seen = np.zeros(len(grams), np.int64)
+        items = shared.value
+        seen = np.zeros(len(items.vocab) + 1, np.int64)
         for b in batches:
             data, off = flat(b.column(text))
             for i, j in blocks(off):
-                words, first = _words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                h, start = gram_hashes(words, first, n)
-                if not len(h) or not len(grams):
-                    continue
-                at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-                hit = np.flatnonzero(grams[at] == h)
-                pairs = np.unique(np.stack([np.searchsorted(start, hit, "right") - 1, at[hit]]), axis=1)
-                seen += np.bincount(pairs[1], minlength=len(grams))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(grams[some])), pa.array(seen[some])], names=["gram", "n"])
+                words, _ = _words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                seen += np.bincount(items.coded(words), minlength=len(seen))
+        some = np.flatnonzero(seen[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["word", "n"])
 
     return count
 
 
-def _aligner(shared, text: str, keep: tuple[str, ...], threshold: float):
+def _aligner(shared, text: str, keep: tuple[str, ...]):
     def find(batches):
         items = shared.value
         for b in batches:
             data, off = flat(b.column(text))
             for i, j in blocks(off):
-                found = _found(items, *_words(data[off[i] : off[j]], off[i : j + 1] - off[i]), threshold)
+                found = _found(items, *_words(data[off[i] : off[j]], off[i : j + 1] - off[i]))
                 if found:
                     rows = pa.array([i + r for r, _, _ in found], pa.int64())
                     cols = [b.column(c).take(rows) for c in keep]

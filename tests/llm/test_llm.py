@@ -352,6 +352,32 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [60, 100, 200])
+def test_decontamination_finds_altered_copies_beside_a_whole_one(spark, length):
+    rng = random.Random(length)
+    vocabulary = [f"w{i}" for i in range(2000)] + ["the", "of"] * 200
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [prose(length) for _ in range(8)]
+    rows = []
+    for w in items:
+        half, mixed = w[: length // 2], [y for x in w for y in (x, rng.choice(vocabulary))]
+        copies = [w, half, w[length // 2 :], mixed, *([x if rng.random() > share else f"x{rng.randrange(10**9)}" for x in w] for share in (0.15, 0.2, 0.25, 0.3))]
+        rows += [prose(rng.randrange(40)) + c + prose(rng.randrange(40)) for c in copies]
+    rows += [prose(300) for _ in range(20)]
+    want = {}
+    for i, w in enumerate(rows):
+        code = {x: k for k, x in enumerate(dict.fromkeys(w), 1)}
+        text = np.array([[code[x] for x in w]], np.uint64)
+        for k, item in enumerate(items):
+            score = float(decontam.align(np.array([code.get(x, 0) for x in item], np.uint64), text)[0])
+            if score >= 0.4:
+                want[i, k] = score
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.contaminated(docs, bench).collect()}
+    assert got == pytest.approx(want) and len(want) > 8 * 5
+
+
 # -- 7 language model
 
 
