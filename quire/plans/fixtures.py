@@ -76,6 +76,26 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "ti AS src", f"{MUTATED} AS out")
 
 
+#: The whole line within what makes a block of each kind; every line in all of them.
+WHOLE_BLOCKS = """array(t || ' . . . . . . ' || (doc_id % 400 + 1), '2.3. ' || t || '          xvii', t || ' | ' || (doc_id % 400 + 1), 'xviii | ' || t,
+ '[ ' || (doc_id % 400 + 1) || ' ] Ana B. Ruiz and Tom Vale. ' || t, t || ' (see "' || replace(t, '"', '') || '" on page ' || (doc_id % 400 + 1) || ').',
+ '“' || t || '” — Data-Intensive ' || (doc_id % 400 + 1), t)"""
+
+#: Engine output: the whole line with each of the faults that engines make; every line with all of them.
+WHOLE_OUTPUTS = """array(t || ' ' || t || ' fin', t || '. ' || t, '⁇ndices y ⁇ltimo ' || t, 'Uno ' || t || ' : uno .', 'edición 2a edición de ' || t, '',
+ 'casa casa ' || t || ' a b c a b c', t || ' Almacenamiento Orientado Columna de la columna', t || ' , versión 3.5 estable')"""
+
+
+def whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """blocks() of whole lines, each in every kind; line_no tells line and kind (line * 8 + kind)."""
+    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "t", "ti", f"posexplode({WHOLE_BLOCKS}) AS (k, text)").selectExpr("doc_id", "line_no * 8 + k AS line_no", "t", "ti", "text")
+
+
+def whole_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """outputs() of whole lines, each with every fault; line_no tells line and fault (line * 9 + fault)."""
+    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "t AS src", f"posexplode({WHOLE_OUTPUTS}) AS (k, out)").selectExpr("doc_id", "line_no * 9 + k AS line_no", "src", "out")
+
+
 def run(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     has, odd = (IN_A, 0) if label == "A" else (IN_B, 1)
     rows = lines(spark, sf_dir).where(has)
