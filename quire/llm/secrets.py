@@ -48,7 +48,8 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # the header and the lines of base64 after it, up to the END line; a backslash where line ends are written out
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[\r\n\\]+[\x20\t]*[A-Za-z0-9+/=]*)*"),
 )
 RULES = BASE_RULES + MORE_RULES
 

@@ -254,6 +254,18 @@ def test_secrets_of_documents(docs, empty):
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
 
 
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\n    ", "\\n"])
+def test_private_keys_are_masked_whole(spark, line_end):
+    rng = random.Random(5)
+    body = ["".join(rng.choice("ABCDEFghijkl0189+/") for _ in range(64)) for _ in range(50)] + ["Zz09+/Q="]
+    key = line_end.join(["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"])
+    rows = [(1, f"before {key}\nafter"), (2, "the line -----BEGIN PRIVATE KEY----- begins a key")]
+    got = dict(secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got[1] == "before [SECRET]-----END RSA PRIVATE KEY-----\nafter" and got[2] == "the line [SECRET] begins a key"
+    raw = rows[0][1].encode()
+    assert secrets.scanner().spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] == plain_spans(raw)
+
+
 # -- 5 fingerprints
 
 
