@@ -1,9 +1,9 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
 Trained in numpy by backpropagation through time on windows of a bounded, hashed sample of labelled
-documents. Prediction covers every byte of every text: texts are cut into windows that are run side
-by side, each entered some bytes early from either side so that its states are warm; every position
-gets language probabilities, and a document's are the mean over its letters' positions.
+documents. Prediction covers every byte of every text as one sequence: the parts of a long text run side
+by side, and again until each is entered with the state that its neighbour leaves; every position gets
+language probabilities, and a document's are the mean over its letters' positions.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, flat, held_out, plus
+from .common import BLOCK_BYTES, blocks, flat, held_out, plus
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_rows: labelled documents per language that are learned from; windows of each and their characters."""
+    """sample_rows: labelled documents per language that are learned from, most_rows in all; windows of each and their
+    characters. segment: bytes of a text's pieces, window: segments that first run as one, after a run-up of one segment;
+    tolerance: how far the state that a segment is entered with may be from that which its neighbour leaves."""
 
     sample_rows: int = 400
+    most_rows: int = 40_000
     sample_windows: int = 6
     sample_chars: int = 72
     hidden: int = 12
@@ -33,8 +36,9 @@ class Settings:
     batch: int = 96
     rate: float = 0.02
     seed: int = 7
-    window: int = 256
-    warm: int = 24
+    segment: int = 256
+    window: int = 6
+    tolerance: float = 0.03
     lanes: int = 768
 
 
@@ -142,82 +146,134 @@ class Network:
 
 
 class Runner:
-    """Prediction with a trained network. Logistic gates are had from tanh, its factor folded into the weights."""
+    """Prediction with a trained network. A state is a column, so that every gate is contiguous; logistic gates are had
+    from tanh, its factors folded into the weights."""
 
     def __init__(self, net: Network) -> None:
         self.net, self.h = net, net.h
         h = self.h
-        scale = np.r_[np.full(2 * h, 0.5, "f4"), np.ones(h, "f4")]
-        self.e = {d: np.ascontiguousarray(net.p[f"e{d}"] * scale) for d in "fb"}
-        self.u = {d: np.ascontiguousarray(net.p[f"u{d}"] * scale) for d in "fb"}
-
-    def _step(self, state, x, d, g, a, tmp):
+        half = np.r_[np.full(2 * h, 0.5, "f4"), np.ones(h, "f4")]
+        self.e = {d: np.ascontiguousarray(net.p[f"e{d}"] * half) for d in "fb"}
+        self.u = {d: np.ascontiguousarray((net.p[f"u{d}"] * np.float32(0.5)).T) for d in "fb"}
+        self.letters = np.zeros(256, "f4")
+        self.letters[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+
+    def _step(self, d, x, state, m, space):
+        """The states of the first m lanes after one more byte."""
         h = self.h
+        g, a, tmp = space[0][:m], space[1][:, :m], space[2][:, :m]
+        s = state[:, :m]
         np.take(self.e[d], x, axis=0, out=g, mode="clip")
-        np.dot(state, self.u[d], out=a)
-        zr = a[:, : 2 * h]
-        zr += g[:, : 2 * h]
+        np.dot(self.u[d], s, out=a) if m == state.shape[1] else np.matmul(self.u[d], s, out=a)
+        zr = a[: 2 * h]
+        zr += g.T[: 2 * h]
         np.tanh(zr, out=zr)
         zr += 1
-        zr *= 0.5
-        np.multiply(a[:, h : 2 * h], a[:, 2 * h :], out=tmp)
-        tmp += g[:, 2 * h :]
+        np.multiply(a[h : 2 * h], a[2 * h :], out=tmp)
+        tmp += g.T[2 * h :]
         np.tanh(tmp, out=tmp)
-        state -= tmp
-        state *= a[:, :h]
-        state += tmp
+        s -= tmp
+        s *= a[:h]
+        s *= 0.5
+        s += tmp
+
+    def _space(self, lanes: int):
+        h = self.h
+        return np.empty((lanes, 3 * h), "f4"), np.empty((3 * h, lanes), "f4"), np.empty((h, lanes), "f4")
+
+    def _entered(self, d: str, data: np.ndarray, at: np.ndarray, steps) -> np.ndarray:
+        """States (lanes x h) after `steps` bytes (of each lane, or of all) from at on, forwards or backwards."""
+        steps = np.broadcast_to(steps, len(at))
+        order = np.argsort(-steps, kind="stable")
+        at, steps = at[order], steps[order]
+        state = np.zeros((self.h, len(at)), "f4")
+        space = self._space(len(at))
+        for t in range(int(steps[0])):
+            m = int(np.searchsorted(-steps, -t, "left"))
+            self._step(d, data[at[:m] + (t if d == "f" else -t)].astype(np.intp), state, m, space)
+        out = np.empty((len(at), self.h), "f4")
+        out[order] = state.T
+        return out
 
     def documents(self, data: np.ndarray, off: np.ndarray, s: Settings) -> np.ndarray:
-        """Language probabilities of each row, mean over its positions that are letters or above ASCII."""
-        langs = len(self.net.langs)
+        """Language probabilities of each row, mean over its positions that are letters or above ASCII.
+
+        Texts are cut into segments. First, windows of several segments run side by side, entered with the states of a
+        few bytes' run-up. Then every segment that was entered with another state than its neighbour leaves runs again
+        from that one, until none is left."""
+        h, langs = self.h, len(self.net.langs)
         size = np.diff(off)
-        parts = -(-size // s.window)
-        row = np.repeat(np.arange(len(size)), parts)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        each = -(-size[row] // np.maximum(parts[row], 1))
-        begin = np.minimum(off[row] + nth * each, off[row + 1])
-        end = np.minimum(begin + each, off[row + 1])
-        letters = np.zeros(256, "f4")
-        letters[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+        n = -(-size // s.segment)
+        row = np.repeat(np.arange(len(size)), n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        begin = off[row] + nth * s.segment
+        end = np.minimum(begin + s.segment, off[row + 1])
+        enter = {d: np.zeros((len(row), h), "f4") for d in "fb"}
+        leave = {d: np.zeros((len(row), h), "f4") for d in "fb"}
+        part = np.zeros((len(row), langs), "f4")
+        heads = np.flatnonzero(nth % s.window == 0)
+        inner = heads[nth[heads] > 0]
+        for lo in range(0, len(inner), s.lanes):
+            k = inner[lo : lo + s.lanes]
+            enter["f"][k] = self._entered("f", data, begin[k] - s.segment, s.segment)
+            up = np.minimum(s.segment, end[k] - begin[k])
+            enter["b"][k - 1] = self._entered("b", data, begin[k] + up - 1, up)
+        self._run(data, begin, np.minimum(off[row[heads] + 1] - begin[heads], s.window * s.segment), heads, enter, leave, part, s)
+        after = np.flatnonzero(nth > 0)  # the segment before is after - 1
+        while True:
+            off_f = np.abs(enter["f"][after] - leave["f"][after - 1]).max(1, initial=0) > s.tolerance
+            off_b = np.abs(enter["b"][after - 1] - leave["b"][after]).max(1, initial=0) > s.tolerance
+            enter["f"][after[off_f]] = leave["f"][after[off_f] - 1]
+            enter["b"][after[off_b] - 1] = leave["b"][after[off_b]]
+            todo = np.union1d(after[off_f], after[off_b] - 1)
+            if not len(todo):
+                break
+            self._run(data, begin, end[todo] - begin[todo], todo, enter, leave, part, s)
         sums = np.zeros((len(size), langs))
-        order = np.argsort(end - begin, kind="stable")
-        padded = np.concatenate([np.full(1, 32, np.uint8), data])  # place 0 stands for what is outside a text
-        for lo in range(0, len(order), s.lanes):
-            w = order[lo : lo + s.lanes]
-            a, z, first, last = begin[w], end[w], off[row[w]], off[row[w] + 1]
-            n = int((z - a).max())
-            if n:
-                np.add.at(sums, row[w], self._windows(padded, a, z, first, last, n, letters, s.warm))
+        np.add.at(sums, row, part)
         total = sums.sum(1, keepdims=True)
         return np.divide(sums, total, out=np.zeros_like(sums), where=total > 0)
 
-    def _windows(self, padded, a, z, first, last, n, letters, warm):
-        lanes, h = len(a), self.h
-        g, act, tmp = np.empty((lanes, 3 * h), "f4"), np.empty((lanes, 3 * h), "f4"), np.empty((lanes, h), "f4")
-        at = a - warm
-        steps = n + 2 * warm
-        grid = at[None, :] + np.arange(steps)[:, None]
-        x = padded[np.where((grid >= first) & (grid < last), grid + 1, 0)].astype(np.intp)
-        inside = (np.arange(n)[:, None] + a < z) * letters[x[warm : warm + n]]
-        state = np.zeros((lanes, h), "f4")
-        ahead = np.empty((n, lanes, h), "f4")
-        for t in range(warm + n):
-            self._step(state, x[t], "f", g, act, tmp)
-            if t >= warm:
-                ahead[t - warm] = state
-        state[:] = 0
-        o1, o2, c = self.net.p["o"][:h], self.net.p["o"][h:], self.net.p["c"]
-        out = np.zeros((lanes, len(c)), "f4")
-        for t in range(steps - 1, warm - 1, -1):
-            self._step(state, x[t], "b", g, act, tmp)
-            if t < warm + n:
-                p = ahead[t - warm] @ o1
-                p += state @ o2
+    def _run(self, data, begin, size, first, enter, leave, part, s: Settings) -> None:
+        """Run from the segments `first` over `size` bytes: what each segment is entered and left with, and its sums of probabilities."""
+        h, seg = self.h, s.segment
+        o1, o2 = (np.ascontiguousarray(x.T) for x in (self.net.p["o"][:h], self.net.p["o"][h:]))
+        c = self.net.p["c"][:, None]
+        order = np.argsort(-size, kind="stable")
+        for lo in range(0, len(order), s.lanes):
+            k, length = first[order[lo : lo + s.lanes]], size[order[lo : lo + s.lanes]]
+            at, n, lanes = begin[k], int(length[0]), len(k)
+            active = np.searchsorted(-length, -np.arange(n), "left")  # lanes longer than t
+            last = k + (length - 1) // seg
+            space = self._space(lanes)
+            ahead = np.empty((n, h, lanes), "f4")
+            state = np.ascontiguousarray(enter["f"][k].T)
+            for t in range(n):
+                m = active[t]
+                if t and t % seg == 0:
+                    enter["f"][k[:m] + t // seg] = leave["f"][k[:m] + t // seg - 1] = state[:, :m].T
+                self._step("f", data[at[:m] + t].astype(np.intp), state, m, space)
+                ahead[t, :, :m] = state[:, :m]
+            leave["f"][last] = state.T
+            state = np.ascontiguousarray(enter["b"][last].T)
+            out = np.zeros((len(c), lanes), "f4")
+            for t in range(n - 1, -1, -1):
+                m = active[t]
+                if (t + 1) % seg == 0 and t + 1 < n:
+                    on = active[t + 1]  # lanes that go on from the segment after
+                    enter["b"][k[:on] + t // seg] = leave["b"][k[:on] + t // seg + 1] = state[:, :on].T
+                x = data[at[:m] + t].astype(np.intp)
+                self._step("b", x, state, m, space)
+                p = o1 @ ahead[t, :, :m]
+                p += o2 @ state[:, :m]
                 p += c
                 np.exp(p, out=p)
-                p *= (inside[t - warm] / p.sum(1))[:, None]
-                out += p
-        return out
+                p *= self.letters[x] / p.sum(0)
+                out[:, :m] += p
+                if t % seg == 0:
+                    part[k[:m] + t // seg] = out[:, :m].T
+                    out[:, :m] = 0
+            leave["b"][k] = state.T
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", learn: "F.Column | None" = None, settings: Settings = Settings()) -> Network | None:
@@ -229,8 +285,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     s = settings
     # windows at hashed places of the whole text; short pieces, so that what is ranked and collected stays small
     windows = F.array(*[F.substring("t", (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.length("t") - s.sample_chars, F.lit(1))) + 1).cast("int"), F.lit(s.sample_chars)) for k in range(s.sample_windows)])
-    first = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("id", "l", windows.alias("w")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= s.sample_rows).orderBy("l", "n").collect()
+    picked = rows.select("id", "l", windows.alias("w"), (F.spark_partition_id() % 512).alias("g"))
+    # first within groups of partitions, so that no language meets whole in one task
+    for by in (["l", "g"], ["l"]):
+        first = Window.partitionBy(*by).orderBy(F.xxhash64("id"), "id", "w")
+        picked = picked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= s.sample_rows)
+    picked = sorted(picked.orderBy("n", "l").limit(s.most_rows).collect(), key=lambda r: (r["l"], r["n"]))
     langs = sorted({r["l"] for r in picked})
     if not langs:
         return None
@@ -243,7 +303,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 def identify(docs: DataFrame, net: Network | None, text: str = "text", settings: Settings = Settings(), pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its probability; und and 0 where the text is null or has no letter.
 
-    Every row gives one row; only the text is looked at. Columns of those names are replaced."""
+    Every row gives one row; only the text is looked at, the whole of it however long. Of languages that tie the first by
+    name is taken. Columns of those names are replaced."""
     docs = docs.drop(pred, score)
     langs = net.langs if net else []
     weights = net.p if net else {}
@@ -258,20 +319,18 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", settings:
             run = own.ready()
         for b in batches:
             col = b.column(text)
-            some = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False)
+            some = np.asarray(pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False))
             data, off = flat(col)
             names, scores = [], []
-            for i, j in blocks(off):
+            for i, j in blocks(off, 2 * BLOCK_BYTES):
                 if run is None:
                     names += [UNKNOWN] * (j - i)
                     scores += [0.0] * (j - i)
                     continue
                 p = run.documents(data[off[i] : off[j]], off[i : j + 1] - off[i], settings)
-                best = p.argmax(1)
-                for k in range(j - i):
-                    ok = some[i + k].as_py()
-                    names.append(langs[best[k]] if ok else UNKNOWN)
-                    scores.append(float(min(1.0, p[k, best[k]])) if ok else 0.0)
+                best = np.where(some[i:j], p.argmax(1), -1)
+                names += [langs[k] if k >= 0 else UNKNOWN for k in best.tolist()]
+                scores += np.where(best >= 0, np.minimum(p.max(1), 1.0), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, pred, score])
 
     return docs.mapInArrow(label, schema)

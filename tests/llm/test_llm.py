@@ -114,17 +114,29 @@ def test_gradients():
         assert (up - down) / 2e-3 == pytest.approx(grads[k][at], rel=1e-2, abs=1e-5)
 
 
-def test_prediction_is_that_of_the_training_network():
-    net = langid.Network(["a", "b"], 6, 3)
-    s = langid.Settings(window=64, warm=64)
-    raw = b"some words of text that is shorter than a window"
-    x = np.frombuffer(b" " * 64 + raw + b" " * 64, np.uint8)[:, None]
+def plain_probabilities(net, raw):
+    """Mean over the letters of a text that runs through the training network as one sequence."""
+    x = np.frombuffer(raw, np.uint8)[:, None]
     f, b = net._forward(x, "f")[0][1:, 0], net._forward(x[::-1], "b")[0][1:, 0][::-1]
-    logits = (np.concatenate([f, b], 1) @ net.p["o"] + net.p["c"])[64:-64]
+    logits = np.concatenate([f, b], 1) @ net.p["o"] + net.p["c"]
     p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
-    keep = np.array([chr(c).isalpha() for c in raw])
-    got = net.ready().documents(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), s)[0]
-    assert got == pytest.approx(p[keep].mean(0), abs=1e-4)
+    keep = [chr(c).isascii() and chr(c).isalpha() or c > 127 for c in raw]
+    return p[keep].mean(0)
+
+
+@pytest.mark.parametrize("scale", [1, 3])
+def test_prediction_is_that_of_the_training_network(scale):
+    """Whole texts, those of many windows too, with a network that forgets at once and one that remembers for long."""
+    rng = random.Random(scale)
+    net = langid.Network(["a", "b", "c"], 6, 3)
+    net.p = {k: v * scale for k, v in net.p.items()}
+    texts = ["".join(rng.choice("etaoin shrdlu\n.é") for _ in range(n)).encode() for n in (1, 7, 15, 16, 17, 63, 64, 65, 300, 5000, 2, 1200)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.ready().documents(data, off, langid.Settings(segment=16, window=4, lanes=5, tolerance=1e-4))
+    some = [i for i, t in enumerate(texts) if any(c > 64 for c in t)]
+    assert got[some] == pytest.approx(np.array([plain_probabilities(net, texts[i]) for i in some]), abs=1e-3)
+    rough = net.ready().documents(data, off, langid.Settings(segment=64, window=4))
+    assert np.abs(rough - got).max() < 0.02
 
 
 def test_language(spark, sf_dir):
