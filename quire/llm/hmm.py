@@ -3,10 +3,9 @@
 Words are counted over all training documents. The most counted words are symbols of their own;
 every other word belongs to a class by its last bytes and is drawn within that class by add-one
 counts, so each word, known or not, has a probability. Latent states are trained by Baum-Welch:
-every round, each task runs the scaled forward-backward recursion over its documents (cut into
-pieces of a bounded number of tokens) and the expected counts are summed across partitions. Scores
-are exact: the scaled forward recursion covers each text as one sequence. A long text's parts are
-run side by side from every state, as matrices that are then multiplied in order.
+every round, each task runs the scaled forward-backward recursion over its documents and the expected
+counts are summed across partitions. Both training and scoring take each text as one sequence. A long
+text's parts are run side by side from every state, as matrices that are then multiplied in order.
 
 Counts of common words travel to the workers as a bounded table; those of all other words meet the
 documents' words in a join.
@@ -30,14 +29,14 @@ _END = int(np.array([END]).view(np.int64)[0])
 
 @dataclass(frozen=True)
 class Settings:
-    """common: words whose counts are sent to the workers. symbols: those that are symbols of their own. part: tokens of a training piece, and of a long text's parts in scoring (times 8)."""
+    """common: words whose counts are sent to the workers, with the end of a text. symbols: those that are symbols of their own. part: texts of more tokens are taken apart for speed (the result is that of the whole)."""
 
     states: int = 6
     symbols: int = 2048
     classes: int = 64
     common: int = 300_000
     rounds: int = 4
-    part: int = 128
+    part: int = 1024
     seed: int = 11
 
 
@@ -86,19 +85,21 @@ def word_counts(docs: DataFrame, text: str, s: Settings) -> DataFrame:
 
 
 class Lexicon:
-    """Common words with their counts and symbols; found by the leading bits of the hash."""
+    """Common words with their counts and symbols; found by the leading bits of the hash. The end of a text is one, a symbol of its own."""
 
     def __init__(self, h: np.ndarray, cls: np.ndarray, c: np.ndarray, s: Settings) -> None:
+        if END not in h:  # nothing to learn from
+            h, cls, c = np.append(h, END), np.append(cls, 0), np.append(c, 0)
         order = np.argsort(h)
         self.h, self.c = h[order], c[order]
         self.top = min(s.symbols, len(h))
         self.symbol = s.symbols + cls[order].astype(np.int64)
-        lead = np.lexsort((self.h, -self.c))[: self.top]
+        lead = np.lexsort((self.h, -self.c, self.h != END))[: self.top]
         self.symbol[lead] = np.arange(self.top)
         self.bits = max(1, int(len(h)).bit_length() + 1)
         self.at = np.searchsorted(self.h, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int64)
         self.at = np.append(self.at, len(self.h))
-        self.own = lead
+        self.own, self.cls = lead, cls[order].astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the words, -1 for those it does not have."""
@@ -117,12 +118,12 @@ class Lexicon:
     def sequences(self, h: np.ndarray, cls: np.ndarray, first: np.ndarray, s: Settings):
         """Symbols of all texts with their ends, each text's first (rows + 1), the words' places, the end's place."""
         place = self.find(h)
-        symbol = np.where(place >= 0, self.symbol[np.maximum(place, 0)] if len(self.h) else 0, s.symbols + cls)
+        symbol = np.where(place >= 0, self.symbol[np.maximum(place, 0)], s.symbols + cls)
         end = self.find(np.array([END]))
         rows = len(first) - 1
         out = np.empty(len(h) + rows, np.int32)
         begin = first + np.arange(rows + 1)
-        out[begin[1:] - 1] = self.symbol[end[0]] if end[0] >= 0 else s.symbols
+        out[begin[1:] - 1] = self.symbol[end[0]]
         out[np.arange(len(h)) + np.repeat(np.arange(rows), np.diff(first))] = symbol
         return out, begin, place, end[0]
 
@@ -150,22 +151,52 @@ class Model:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def expected(model: Model, seq: np.ndarray, begin: np.ndarray, part: int):
-    """Expected counts (start, move, emit) of the texts, in pieces of at most `part` tokens."""
-    k = len(model.start)
-    size = np.diff(begin)
-    n = -(-size // part)
+def _cut(size: np.ndarray, begin: np.ndarray, part: int):
+    """Texts in parts: those of more than `part` tokens in quarters of that. Text, first token, length and number of each part."""
+    each = np.where(size > part, max(1, part // 4), np.maximum(size, 1))
+    n = -(-size // each)
     text = np.repeat(np.arange(len(size)), n)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    at = begin[text] + nth * part
-    length = np.minimum(part, begin[text + 1] - at)
+    at = begin[text] + nth * each[text]
+    return text, at, np.minimum(each[text], begin[text + 1] - at), nth
+
+
+def _borders(model: "Model", seq, text, at, length, nth, kind: str):
+    """What each part of a text is entered with and left to: the states' distribution before its first token (given all before),
+    and the likelihoods of all that follows it, from each state before the next part (1 after the last), both up to a factor."""
+    k = len(model.start)
+    enter = np.tile(model.start.astype("f8"), (len(text), 1))
+    follow = np.ones((len(text), k))
+    long = np.flatnonzero(nth[1:] > nth[:-1])  # parts that have one after them
+    if len(long):
+        some = np.union1d(long, long + 1)
+        v, log = _forward(model, np.tile(np.eye(k), (len(some), 1)), seq, np.repeat(at[some], k), np.repeat(length[some], k), kind)
+        v, log = v.reshape(-1, k, k), log.reshape(-1, k)
+        step = v * np.exp(log - log.max(1, keepdims=True))[:, :, None]
+        place = np.full(len(text) + 1, -1)
+        place[some] = np.arange(len(some))
+        for p in long.tolist():
+            u = enter[p] @ step[place[p]]
+            enter[p + 1] = u / u.sum()
+        for p in long[::-1].tolist():
+            w = step[place[p + 1]] @ follow[p + 1]
+            follow[p] = w / w.sum()
+    return enter, follow
+
+
+def expected(model: Model, seq: np.ndarray, begin: np.ndarray, part: int):
+    """Expected counts (start, move, emit) of whole texts."""
+    k = len(model.start)
+    text, at, length, nth = _cut(np.diff(begin), begin, part)
+    enter, follow = _borders(model, seq, text, at, length, nth, "f4")
+    goes_on = np.append(nth[1:] > nth[:-1], False)
     order = np.argsort(-length, kind="stable")
-    at, length, head = at[order], length[order], (nth == 0)[order]
+    at, length, head, goes_on, follow = at[order], length[order], (nth == 0)[order], goes_on[order], follow[order].astype("f4")
     steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than t
+    active = np.searchsorted(-length, -np.arange(steps), "left")  # parts longer than t
     move, emit = model.move.astype("f4"), model.emit.astype("f4")
     alpha, scale, outs = [], [], []
-    v = np.broadcast_to(model.start.astype("f4"), (len(at), k))
+    v = enter[order].astype("f4")
     for t in range(steps):
         m = active[t]
         o = emit[seq[at[:m] + t]]
@@ -179,12 +210,19 @@ def expected(model: Model, seq: np.ndarray, begin: np.ndarray, part: int):
     moves = np.zeros((k, k))
     beta = np.ones((0, k), "f4")
     for t in range(steps - 1, -1, -1):
-        m = active[t]
+        m, n = active[t], len(beta)
         grown = np.ones((m, k), "f4")
-        if len(beta):
+        if n:
             w = outs[t + 1] * beta / scale[t + 1]
-            moves += alpha[t][: len(w)].T @ w
-            grown[: len(w)] = w @ move.T
+            moves += alpha[t][:n].T @ w
+            grown[:n] = w @ move.T
+        ends = n + np.flatnonzero(goes_on[n:m])  # parts that end here, with a part after them
+        if len(ends):
+            w = follow[ends]
+            last = w @ move.T
+            total = (alpha[t][ends] * last).sum(1, keepdims=True)
+            moves += alpha[t][ends].T @ (w / total)
+            grown[ends] = last / total
         beta = grown
         alpha[t] = alpha[t] * beta
     moves *= move
@@ -200,41 +238,18 @@ def expected(model: Model, seq: np.ndarray, begin: np.ndarray, part: int):
 
 def log_likelihood(model: Model, seq: np.ndarray, begin: np.ndarray, part: int) -> np.ndarray:
     """Natural logarithm of each whole sequence's probability, by the scaled forward recursion."""
-    k = len(model.start)
-    size = np.diff(begin)
-    out = np.zeros(len(size))
-    short = np.flatnonzero(size <= part)
-    v, log = _forward(model, np.broadcast_to(model.start, (len(short), k)), seq, begin[short], size[short])
-    out[short] = log + np.log(v.sum(1))
-    long = np.flatnonzero(size > part)
-    if len(long):
-        n = -(-size[long] // part)
-        text = np.repeat(long, n)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        at = begin[text] + nth * part
-        length = np.minimum(part, begin[text + 1] - at)
-        v, log = _forward(model, np.tile(np.eye(k), (len(at), 1)), seq, np.repeat(at, k), np.repeat(length, k))
-        v, log = v.reshape(-1, k, k), log.reshape(-1, k)
-        i = 0
-        for d, parts in zip(long.tolist(), n.tolist()):
-            u, total = model.start.astype("f8"), 0.0
-            for p in range(i, i + parts):
-                top = log[p].max()
-                u = (u * np.exp(log[p] - top)) @ v[p]
-                mass = u.sum()
-                u = u / mass
-                total += top + np.log(mass)
-            out[d] = total
-            i += parts
-    return out
-
-
-def _forward(model: Model, v0: np.ndarray, seq, at, size):
+    text, at, length, nth = _cut(np.diff(begin), begin, part)
+    enter, _ = _borders(model, seq, text, at, length, nth, "f8")
+    _, log = _forward(model, enter, seq, at, length)
+    return np.bincount(text, weights=log, minlength=len(begin) - 1)
+
+
+def _forward(model: Model, v0: np.ndarray, seq, at, size, kind: str = "f8"):
     """From the state distribution before each part to that after it (sum 1) and the logarithm of what was divided out."""
     order = np.argsort(-size, kind="stable")
     at, size = at[order], size[order]
-    move, emit = model.move.astype("f8"), model.emit.astype("f8")
-    v = np.array(v0[order], "f8")
+    move, emit = model.move.astype(kind), model.emit.astype(kind)
+    v = np.array(v0[order], kind)
     log = np.zeros(len(at))
     steps = int(size[0]) if len(size) else 0
     active = np.searchsorted(-size, -np.arange(steps), "left")
@@ -267,15 +282,15 @@ class Scorer:
             if above > s.common:
                 break
             self.bar = 1 << p
-        common = self.words.where(F.col("c") >= self.bar).toArrow().combine_chunks()
+        self.bar_or_end = (F.col("c") >= self.bar) | (F.col("h") == _END)
+        common = self.words.where(self.bar_or_end).toArrow().combine_chunks()
         h, cls, c = (np.asarray(common.column(n)) for n in ("h", "cls", "c"))
         self.lexicon = Lexicon(np.ascontiguousarray(h).view(np.uint64), cls, c, s)
         sums = {r[0]: (r[1], r[2]) for r in self.words.groupBy("cls").agg(F.sum("c"), F.count(F.lit(1))).collect()}
         self.class_total, self.class_distinct = (np.array([sums.get(k, (0, 0))[i] for k in range(s.classes)], np.float64) for i in (0, 1))
         lx = self.lexicon
-        cls_of = np.asarray(cls)[np.argsort(np.ascontiguousarray(h).view(np.uint64))]
-        np.subtract.at(self.class_total, cls_of[lx.own], lx.c[lx.own])
-        np.subtract.at(self.class_distinct, cls_of[lx.own], 1)
+        np.subtract.at(self.class_total, lx.cls[lx.own], lx.c[lx.own])
+        np.subtract.at(self.class_distinct, lx.cls[lx.own], lx.c[lx.own] > 0)
         self.weight = np.zeros(s.symbols + s.classes)
         self.weight[: lx.top] = lx.c[lx.own]
         self.weight[s.symbols :] = self.class_total
@@ -309,7 +324,8 @@ class Scorer:
     def score(self, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         """The kept columns with n_tokens, n_known, train_tokens, base_score and score, one row per row of docs.
 
-        A null text is an empty one: its end is its only token. Without training texts every word is unknown."""
+        A null text is an empty one: its end is its only token. Without training texts every word is unknown. Each text is
+        scored whole, however long; equal texts have equal scores, and words that tie for the last symbol go by their hash."""
         s, model, shared, total = self.s, self.model, self.shared, self.total
         bottom = np.log10(self.total + 1 * (self.distinct + 1))
         in_class = np.log10(self.class_total + self.class_distinct + 1)
@@ -323,15 +339,15 @@ class Scorer:
                 for i, j in blocks(off):
                     h, cls, first = _tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], s.classes)
                     seq, begin, place, end = lx.sequences(h, cls, first, s)
-                    log = log_likelihood(model, seq, begin, s.part * 8) / np.log(10)
+                    log = log_likelihood(model, seq, begin, s.part) / np.log(10)
                     has = place >= 0
-                    c = np.where(has, logs[np.maximum(place, 0)] if len(logs) else 0, 0.0)
-                    grouped = (lx.symbol[np.maximum(place, 0)] >= s.symbols if len(logs) else True) | ~has
+                    c = np.where(has, logs[np.maximum(place, 0)], 0.0)
+                    grouped = (lx.symbol[np.maximum(place, 0)] >= s.symbols) | ~has
                     inner = np.where(grouped, c - in_class[cls], 0.0)
                     sums = lambda x: np.diff(np.concatenate([[0.0], np.cumsum(x)])[first])
                     n = np.diff(first) + 1
-                    base = sums(c) + (logs[end] if end >= 0 else 0.0) - n * bottom
-                    known = np.diff(np.concatenate([[0], np.cumsum(has)])[first]) + (1 if end >= 0 else 0)
+                    base = sums(c) + logs[end] - n * bottom
+                    known = np.diff(np.concatenate([[0], np.cumsum(has)])[first]) + int(lx.c[end] > 0)
                     rare_at = np.concatenate([[0], np.cumsum(~has)])[first].astype(np.int32)
                     rare = pa.ListArray.from_arrays(pa.array(rare_at), pa.array(signed(h[~has])))
                     cols = [b.column(x).slice(i, j - i) for x in keep]
@@ -339,7 +355,7 @@ class Scorer:
 
         got = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
         got = stored(got.withColumn("rid", F.monotonically_increasing_id()), "scored")
-        rare = got.select("rid", F.explode("rare").alias("h")).join(self.words.where(F.col("c") < self.bar).select("h", "c"), "h")
+        rare = got.select("rid", F.explode("rare").alias("h")).join(self.words.where(~self.bar_or_end).select("h", "c"), "h")
         rare = rare.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("some"))
         out = got.drop("rare").join(rare, "rid", "left")
         more = F.coalesce("more", F.lit(0.0))
