@@ -21,7 +21,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_quire_path"] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made from them must be stored itself."""
+    for t in tables:
+        if path := t.__dict__.pop("_quire_path", None):
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -111,8 +122,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without separator bytes, none across two rows, and each row's first word (rows + 1)."""
+def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE, apart: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs without separator bytes, none across two rows, and each row's first word (rows + 1).
+
+    apart: starts and ends of spans that are words of their own wherever they stand."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
@@ -124,6 +137,12 @@ def word_bounds(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) ->
     cut = cut[(cut > 0) & (cut < len(data))]
     first[cut] = is_word[cut]
     last[cut - 1] = is_word[cut - 1]
+    if apart is not None and len(apart[0]):
+        starts, ends = apart
+        first[starts] = last[ends - 1] = True
+        before, after = starts[starts > 0] - 1, ends[ends < len(data)]
+        last[before] |= is_word[before]
+        first[after] |= is_word[after]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
     return s, e, np.searchsorted(s, off)
 

@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare words as seeds, exact bounds, then Smith-Waterman alignment.
 
-Words are runs of ASCII letters and digits and of anything above ASCII, A-Z in lower case. A document
-matches an item where the best local alignment of their words (match 2, mismatch -1, gap -1) has the
-threshold's share of what a full copy would have. What is looked up only saves work, no match is lost:
+Words are runs of ASCII letters and digits and of anything above ASCII, A-Z in lower case; a character of a
+script that is written without spaces is a word. A document matches an item where the best local alignment of
+their words (match 2, mismatch -1, gap -1) has the threshold's share of what a full copy would have; an item of
+few words must be there whole. What is looked up only saves work, no match is lost:
 such an alignment has at least `need` of the item's words within `span` words of the document. The most
 frequent words of an item (counted over the whole corpus) are left out while they are fewer than `need`;
 the rest of `need` must be met among its other words, the seeds. Where they are, every word of the
@@ -23,12 +24,12 @@ from .common import LOWER, NOT_ALNUM, blocks, flat, plus, ragged, span_hashes, w
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold: least share of a full copy's score. min_words: shorter items are never matched.
+    """threshold: least share of a full copy's score. short: items of fewer words are matched by whole copies only.
     common: share of the words a match needs that may be left out of the seeds (a matter of speed only).
     block_words: words of the benchmark that are broadcast at once; a larger benchmark takes several passes."""
 
     threshold: float = 0.4
-    min_words: int = 6
+    short: int = 6
     common: float = 0.75
     block_words: int = 2_000_000
 
@@ -37,20 +38,31 @@ class Settings:
 PAIRS, CELLS = 4_000_000, 1 << 20
 
 
+def _alone(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the characters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese, all of four bytes."""
+    at = np.flatnonzero((data >= 0xE0) & (data <= 0xF4))
+    lead, then = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    thai = (lead == 0xE0) & (then >= 0xB8) & (then <= 0xBB)
+    burmese = (lead == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then >= 0x9E) & (then <= 0x9F))
+    at = at[thai | burmese | (lead >= 0xE3) & (lead <= 0xE9) | (lead >= 0xF0)]
+    return at, at + np.where(data[at] >= 0xF0, 4, 3)
+
+
 def _words(data: np.ndarray, off: np.ndarray):
     low = LOWER[data]
-    s, e, first = word_bounds(low, off, NOT_ALNUM)
+    s, e, first = word_bounds(low, off, NOT_ALNUM, _alone(data))
     return span_hashes(low, s, e), first
 
 
 class Items:
     """The benchmark's items of one pass: their words as places in a sorted vocabulary, and which items have a word as seed."""
 
-    def __init__(self, ids: list, words: list[np.ndarray], threshold: float) -> None:
+    def __init__(self, ids: list, words: list[np.ndarray], s: Settings) -> None:
         self.ids = ids
         self.vocab = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
         self.words = [np.searchsorted(self.vocab, w).astype(np.int32) for w in words]
         self.length = np.array([len(w) for w in words], np.int64)
+        threshold = np.where(self.length < s.short, 1.0, s.threshold)
         self.least = 2 * threshold * self.length - 1e-6
         # 2 a match, -1 for each other word: fewest matches, and most words of the document that an alignment reaches over
         self.need = np.maximum(np.ceil(threshold * self.length - 1e-6).astype(np.int64), 1)
@@ -190,7 +202,8 @@ def _found(items: Items, words: np.ndarray, first: np.ndarray):
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ("doc_id",), settings: Settings = Settings()) -> DataFrame:
     """One row for each document row and benchmark row that align: the kept columns, item_id, score (0 to 1).
 
-    Null or empty texts and items align with nothing; repeated rows of either side each give their own."""
+    Null or empty texts and items align with nothing; repeated rows of either side each give their own, and items that
+    tie all do. Texts are read whole, however long: their words go through in overlapping pieces."""
     s = settings
     spark = docs.sparkSession
     # the benchmark goes round in blocks of bounded size
@@ -205,10 +218,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
         for r in mine:
             raw = r["t"].encode()
             w, _ = _words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            if len(w) >= s.min_words:
+            if len(w):
                 ids.append(r["i"])
                 words.append(w)
-        items = Items(ids, words, s.threshold)
+        items = Items(ids, words, s)
         counted = docs.select(text).mapInArrow(_counter(spark.sparkContext.broadcast(items), text), "word bigint, n bigint")
         # as many rows as the block has words
         count = np.zeros(len(items.vocab), np.int64)
