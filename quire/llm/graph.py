@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
@@ -15,6 +15,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     if not e.limit(1).count():
         most_rounds = 0
     for _ in range(most_rounds):
+        old = e
         # large star: a node's larger neighbours go to its smallest neighbour (or itself)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -23,6 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         e = stored(e.where("u <> v").distinct(), "edges")
+        free(old)
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             break

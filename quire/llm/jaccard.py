@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, flat, gram_hashes, mix, ragged, signed, span_hashes, stored, word_bounds
+from .common import LOWER, blocks, flat, free, fresh, gram_hashes, mix, ragged, signed, span_hashes, stored, word_bounds
 from .graph import components
 
 _NONE = -(1 << 63)
@@ -111,8 +111,8 @@ def _must_share(size, s: Settings):
     return np.maximum(1, np.minimum(l_of(size), l_of(s.least_overlap(size))) - 2)
 
 
-def shingled(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Stored: doc_id, n (set size), key, must (see _must_share), the smallest shingles (head), and a number for the row."""
+def shingled(docs: DataFrame, doc_id: str, text: str, s: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Stored: doc_id, n (set size), key, must (see _must_share), the smallest shingles (head), a number for the row, and columns that it carries."""
 
     def cut(batches):
         for b in batches:
@@ -124,10 +124,11 @@ def shingled(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
                     key.append(_key(own))
                     head.append(own[: _head(len(own), s)])
                     must.append(int(_must_share(len(own), s)))
-                yield pa.RecordBatch.from_arrays([b.column(doc_id).slice(i, j - i), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(must, pa.int32()), _list(head)], names=["doc_id", "n", "key", "must", "head"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in (doc_id, *carry)), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(must, pa.int32()), _list(head)], names=["doc_id", *carry, "n", "key", "must", "head"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(doc_id, text).mapInArrow(cut, f"doc_id {kind}, n int, key binary, must int, head array<bigint>")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = docs.select(doc_id, text, *carry).mapInArrow(cut, f"doc_id {kind}{more}, n int, key binary, must int, head array<bigint>")
     return stored(rows.withColumn("rid", F.monotonically_increasing_id()), "shingled")
 
 
@@ -135,13 +136,15 @@ def _possible(rows: DataFrame, rounds: int = 2) -> DataFrame:
     """Stored: the rows whose heads share enough with other sets' heads to be linked with any. Exact: the others have no link.
 
     Equal sets do not count as others; every round counts among the rows that the one before kept."""
-    rows = rows.where("n > 0")
+    before, rows = None, rows.where("n > 0")
     for _ in range(rounds):
         each = rows.select("rid", "must", F.xxhash64("key").alias("k"), F.explode("head").alias("t"))
         shared = each.groupBy("t").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("t")
         kept = each.select("rid", "must", "t").join(shared, "t").groupBy("rid", "must").agg(F.count(F.lit(1)).alias("c")).where("c >= must")
         kept = stored(kept.select("rid"), "kept")
         rows = stored(rows.join(kept, "rid", "left_semi"), "possible")
+        free(kept, *([before] if before is not None else []))
+        before = rows
     return rows
 
 
@@ -175,8 +178,8 @@ def _signatures(own: np.ndarray, often: np.ndarray, length: int, classes: int) -
     return out
 
 
-def _index(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, often: np.ndarray, s: Settings) -> DataFrame:
-    """Stored rows (sig, cid, n)."""
+def _index(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, often: np.ndarray, s: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (sig, cid, n) and the stored tables that have them."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(often)
     extra = s.classes if len(often) else 0
@@ -202,8 +205,8 @@ def _index(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, often: n
 
     index = stored(classes.select("cid", "n", "head").mapInArrow(from_heads, "sig bigint, cid bigint, n int"), "index")
     if not len(often):
-        return index
-    whole = _whole_sets(classes.join(index.where("sig IS NULL").select("cid"), "cid", "left_semi"), docs, doc_id, text, s)
+        return index, [index]
+    whole, made = _whole_sets(classes.join(index.where("sig IS NULL").select("cid"), "cid", "left_semi"), docs, doc_id, text, s)
 
     def from_sets(batches):
         table = shared.value
@@ -215,11 +218,13 @@ def _index(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, often: n
                 keys = np.concatenate(_signatures(own, table, min(len(own), _prefix(len(own), s) + extra), s.classes))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.full(len(keys), cid[k])), pa.array(np.full(len(keys), len(own), np.int32))], names=["sig", "cid", "n"])
 
-    return index.where("sig IS NOT NULL").unionByName(stored(whole.mapInArrow(from_sets, "sig bigint, cid bigint, n int"), "index"))
+    more = stored(whole.mapInArrow(from_sets, "sig bigint, cid bigint, n int"), "index")
+    free(*made)
+    return index.where("sig IS NOT NULL").unionByName(more), [index, more]
 
 
-def _whole_sets(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Stored (cid, items): the whole sorted sets of some classes, made from one document of each."""
+def _whole_sets(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settings) -> tuple[DataFrame, list[DataFrame]]:
+    """(cid, items): the whole sorted sets of some classes, made from one document of each; and the stored tables that have them."""
     ids = stored(classes.select(F.coalesce(F.col("id").cast("long"), F.lit(_NONE)).alias("at"), "key", "cid"), "wanted")
     small = ids.count() <= s.broadcast_ids
     wanted = F.broadcast(ids.select("at")) if small else ids.select("at")
@@ -234,7 +239,8 @@ def _whole_sets(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s:
 
     sets = some.select("t").mapInArrow(cut, "key binary, items array<bigint>").join(F.broadcast(ids.select("key", "cid")) if small else ids.select("key", "cid"), "key")
     # rows that repeat a document would give its set again
-    return stored(sets.select("cid", "items"), "sets").dropDuplicates(["cid"])
+    found = stored(sets.select("cid", "items"), "sets")
+    return found.dropDuplicates(["cid"]), [ids, found]
 
 
 def _stars(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -330,7 +336,7 @@ def _meet(units: DataFrame, sets: DataFrame, percent: int, heads: bool) -> DataF
 
 def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
     """(node, label) of every class with a link: label is the smallest class of its component."""
-    index = _index(classes, docs, doc_id, text, _frequent(classes, s), s)
+    index, made = _index(classes, docs, doc_id, text, _frequent(classes, s), s)
     groups = (
         index.where("sig IS NOT NULL")
         .groupBy("sig")
@@ -340,12 +346,14 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settin
     # groups with the same members are one
     groups = groups.groupBy("m", "x", "y", "w").agg(F.min("sig").alias("sig")).select("sig", "w")
     members = stored(index.join(groups, "sig").select("sig", "w", "cid", "n"), "members")
+    free(*made)
     # heads are about a quarter of their sets
     blocks_of = lambda w: F.ceil(F.col(w) / (4 * s.block))
     # Groups overlap. Where it moves less, all that a chain of groups connects meets as one group instead.
     star = members.groupBy("sig").agg(F.min("cid").alias("b"))
     chains = components(members.join(star, "sig").select(F.col("cid").alias("a"), "b")).withColumnRenamed("node", "cid")
     placed = stored(members.join(chains, "cid"), "placed")
+    free(members)
     by_group = placed.groupBy("label", "sig", "w").agg(F.lit(1)).groupBy("label").agg(F.sum(F.col("w") * blocks_of("w")).alias("apart"))
     by_chain = placed.groupBy("label", "cid", "n").agg(F.lit(1)).groupBy("label").agg(F.sum("n").alias("whole"))
     # a table, so that its size is known: a large chain's rows need no shuffle by chain while there are few chains
@@ -354,13 +362,36 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, s: Settin
     unit = F.when(F.col("one"), F.concat(F.lit("c"), F.col("label").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("sig").cast("string")))
     size = F.when(F.col("one"), blocks_of("whole")).otherwise(blocks_of("w")).cast("int")
     units = stored(chosen.select(unit.alias("unit"), size.alias("nb"), F.col("one").alias("sure"), "cid").distinct(), "meetings")
+    free(placed, plan)
     # first by heads: what they rule out needs no whole sets
     maybe = _meet(units, classes.select("cid", "n", F.col("head").alias("items")), s.percent, True).withColumnRenamed("node", "cid")
     maybe = stored(maybe.join(classes.select("cid", "n"), "cid"), "maybe")
     weight = maybe.groupBy("label").agg(F.ceil(F.sum("n") / s.block).cast("int").alias("nb"))
     units = maybe.join(weight, "label").select(F.col("label").alias("unit"), "nb", F.lit(True).alias("sure"), "cid")
-    sets = _whole_sets(classes.join(maybe.select("cid"), "cid", "left_semi"), docs, doc_id, text, s)
-    return _meet(units, sets.withColumn("n", F.size("items")), s.percent, False)
+    sets, made = _whole_sets(classes.join(maybe.select("cid"), "cid", "left_semi"), docs, doc_id, text, s)
+    out = _meet(units, sets.withColumn("n", F.size("items")), s.percent, False)
+    free(*made)
+    return out
+
+
+def components_of(docs: DataFrame, doc_id: str, text: str, s: Settings, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, the carried columns, n (set size), and first: the least (no_id, id, carried columns)
+    of its component's rows, null for rows without shingles."""
+    rows = shingled(docs, doc_id, text, s, carry)
+    me = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), *carry)
+    possible = _possible(rows)
+    classes = possible.groupBy("key").agg(F.min(me).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
+    classes = stored(classes.select("key", "first", F.col("first.id").alias("id"), "n", "head").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    free(possible)
+    labels = links(classes, docs, doc_id, text, s)
+    linked = classes.select("key", "first", "cid").join(labels.withColumnRenamed("node", "cid"), "cid")
+    least = linked.groupBy("label").agg(F.min("first").alias("component"))
+    linked = linked.join(least, "label").select("key", "component")
+    # sets without a link are a component of their own rows
+    named = rows.where("n > 0").groupBy("key").agg(F.min(me).alias("first")).join(linked, "key", "left")
+    named = stored(named.select("key", F.coalesce("component", "first").alias("first")), "named")
+    free(classes)
+    return rows.select("doc_id", *carry, "n", "key").join(named, "key", "left").drop("key")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -368,19 +399,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
 
     Null and empty texts, and those without words, have 0 shingles and their own id. Repeated rows and
     equal texts are in one component. A null doc_id is never the smallest unless there is no other."""
-    s = settings
-    rows = shingled(docs, doc_id, text, s)
-    classes = _possible(rows).groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("head").alias("head"))
-    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    labels = links(classes, docs, doc_id, text, s)
-    linked = classes.select("key", "id", "cid").join(labels.withColumnRenamed("node", "cid"), "cid")
-    least = linked.groupBy("label").agg(F.min("id").alias("component"))
-    linked = linked.join(least, "label").select("key", "component")
-    # sets without a link are a component of their own rows
-    named = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id")).join(linked, "key", "left")
-    named = stored(named.select("key", F.coalesce("component", "id").alias("component")), "named")
-    out = rows.select("doc_id", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    out = components_of(docs, doc_id, text, settings)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.id")).alias("component_id"))
+
+
+def firsts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (no id comes last), of rows that share it that
+    with the smallest hash of id and text. All rows without shingles stay; every row is judged by its own text."""
+    a, b = fresh(docs, "a", "b")
+    # what a row is: 128 bits of its id and text
+    keyed = docs.withColumn(a, F.xxhash64(doc_id, text)).withColumn(b, F.xxhash64(text, F.lit(1), doc_id))
+    found = components_of(keyed, doc_id, text, settings, (a, b))
+    mine = found.where((F.col("n") > 0) & (F.col(f"first.`{a}`") == F.col(a)) & (F.col(f"first.`{b}`") == F.col(b)))
+    keep = stored(mine.select(a, b).unionByName(found.where("n = 0").select(a, b)).distinct(), "keep")
+    kept = keyed.join(keep, [a, b], "left_semi")
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    one = kept.where(~blank).dropDuplicates([a, b])
+    return one.unionByName(kept.where(blank)).select(*docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
