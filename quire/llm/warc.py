@@ -25,6 +25,8 @@ from .common import stored
 MIN_SHARED = 1000
 #: Ranges that are this near are read together, up to so many bytes at once.
 GAP, MOST = 64 << 10, 8 << 20
+#: Payloads that are each more than this part of all repeated ones are broadcast.
+MOST_OFTEN = 100_000
 
 INDEX = "key bigint, url string, file string, offset bigint, length bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -68,7 +70,8 @@ def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least:
 
     Of equal payloads of `least` bytes or more the one with the largest key is the response and the
     others revisit it; rows that tie for the largest key are all responses; a null key is smaller
-    than any. Only payloads that occur again take part in the join, and only by their digest."""
+    than any. Only payloads that occur again take part in the join, and only by their digest. Those that occur in a large
+    share of the rows, of which there are few, are broadcast; so no digest's rows meet in one task."""
     size = F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")
     rows = pages.withColumn("payload_bytes", size).withColumn("payload_digest", F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary")))
     heads = (
@@ -76,17 +79,19 @@ def marked(pages: DataFrame, key: str = "page_id", payload: str = "html", least:
         .groupBy("payload_digest")
         .agg(F.max(key).alias("head"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 1) & F.col("head").isNotNull())
-        .drop("n")
     )
     # a table, so that its size is known where the join is planned: small ones are broadcast, others shuffle
     heads = stored(heads, "heads")
+    often = F.col("n") > max(1000, (heads.agg(F.sum("n")).first()[0] or 0) // MOST_OFTEN)
+    many = heads.where(often).select("payload_digest", F.col("head").alias("often"))  # fewer than MOST_OFTEN rows
+    few = heads.where(~often).select(F.col("payload_digest").alias("by"), "head")
+    # rows that need no such head are dealt evenly
+    alone = (F.col("payload_bytes") < least) | F.col("often").isNotNull()
+    rows = rows.join(F.broadcast(many), "payload_digest", "left")
+    rows = rows.withColumn("by", F.when(alone, F.concat(F.lit("-"), F.xxhash64(key, payload).cast("string"))).otherwise(F.col("payload_digest"))).join(few, "by", "left")
+    rows = rows.withColumn("head", F.coalesce("often", "head"))
     revisit = F.col("head").isNotNull() & (F.col("payload_bytes") >= least) & (F.col(key).isNull() | (F.col(key) < F.col("head")))
-    return (
-        rows.join(heads, "payload_digest", "left")
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-        .withColumn("refers_to", F.when(revisit, F.col("head")))
-        .drop("head")
-    )
+    return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("head"))).drop("head", "often", "by")
 
 
 def write(pages: DataFrame, base: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = MIN_SHARED) -> DataFrame:
