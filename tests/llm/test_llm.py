@@ -366,7 +366,7 @@ def test_decontamination(spark, empty):
             truth.add((i, k))
         rows.append((i, " ".join(w).capitalize() + ".", "en", "s", 0))
     rows += [(900, None, None, None, None), (901, "", None, None, None), rows[0]]
-    bench = spark.createDataFrame([(k, ", ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, "the of")], "item_id bigint, text string")
+    bench = spark.createDataFrame([(k, ", ".join(w)) for k, w in enumerate(items)] + [(90, None), (91, "zz yy"), (92, ""), (93, "?!")], "item_id bigint, text string")
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     got = decontam.contaminated(docs, bench)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == truth
@@ -376,6 +376,18 @@ def test_decontamination(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    """Items of few words are found whole, and only so; characters of scripts without spaces are words."""
+    items = [(1, "Red fox jumps over wall!"), (2, "quokka"), (3, "東京は日本の首都であり、人口が最も多い都市です。"), (4, "北京是"), (5, "กรุงเทพมหานครเป็นเมืองหลวง"), (6, "красная лиса")]
+    rows = [
+        (1, "the red fox -- jumps over WALL again"), (2, "red fox jumps over a wall"), (3, "red jumps over wall"), (4, "a quokka, a quokkas"), (5, "quokkas"),
+        (6, "昔から東京は日本の首都であり人口がとても多い都市です"), (7, "私たちの北京是城市"), (8, "北京不是"), (9, "วันนี้กรุงเทพมหานครเป็นเมืองหลวงของไทย"), (10, "Красная лиса, красная лиса бежит"), (11, None), (12, "красная лиса"),
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(1, 1), (4, 2), (6, 3), (7, 4), (9, 5), (10, 6), (12, 6)}
+
+
 @pytest.mark.parametrize("length", [60, 100, 200])
 def test_decontamination_finds_altered_copies_beside_a_whole_one(spark, length):
     rng = random.Random(length)
@@ -433,31 +445,86 @@ def test_forward_and_counts():
                     move[path[t - 1], a] += p / z
     for part in (2, 3, 100):
         assert hmm.log_likelihood(model, seq, begin, part) == pytest.approx(total)
-    got = hmm.expected(model, seq, begin, 100)
-    for a, b in zip(got, (start, move, emit)):
-        assert a == pytest.approx(b, rel=1e-4)
+    for part in (2, 3, 100):
+        for a, b in zip(hmm.expected(model, seq, begin, part), (start, move, emit)):
+            assert a == pytest.approx(b, rel=1e-4)
+
+
+def test_counts_are_those_of_whole_texts():
+    """Texts of many parts against plain forward-backward in double precision."""
+    rng = np.random.default_rng(7)
+    k, m = 3, 9
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)) ** 4, 1), norm(rng.random((m, k)) ** 2, 0))
+    sizes = [1000, 1, 37, 400, 64, 65]
+    seq, begin = rng.integers(0, m, sum(sizes)).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((m, k)), []
+    for a, z in zip(begin[:-1], begin[1:]):
+        x, alpha, beta, c = seq[a:z], np.zeros((z - a, k)), np.ones((z - a, k)), np.zeros(z - a)
+        v = model.start
+        for t, o in enumerate(x):
+            alpha[t] = v * model.emit[o]
+            c[t] = alpha[t].sum()
+            alpha[t] /= c[t]
+            v = alpha[t] @ model.move
+        for t in range(len(x) - 2, -1, -1):
+            w = model.emit[x[t + 1]] * beta[t + 1] / c[t + 1]
+            beta[t] = model.move @ w
+            move += np.outer(alpha[t], w) * model.move
+        start += alpha[0] * beta[0]
+        np.add.at(emit, x, alpha * beta)
+        total.append(np.log(c).sum())
+    assert move.sum() == pytest.approx(sum(sizes) - len(sizes))
+    for part in (16, 64, 300, 5000):
+        for got, want in zip(hmm.expected(model, seq, begin, part), (start, move, emit)):
+            assert got == pytest.approx(want, rel=2e-3, abs=1e-3)
+        assert hmm.log_likelihood(model, seq, begin, part) == pytest.approx(total)
 
 
-def test_scores(spark, docs, texts, empty):
+@pytest.mark.parametrize("common_words, symbols", [(50, 20), (1, 3), (100_000, 2048)])
+def test_scores(spark, docs, texts, empty, common_words, symbols):
     import math
     from collections import Counter
 
-    s = hmm.Settings(common=50, symbols=20, rounds=2)
+    s = hmm.Settings(common=common_words, symbols=symbols, rounds=2)
     learn = docs.where("doc_id % 2 = 0")
-    got = hmm.Scorer(learn, "text", s).score(docs, "text", ["doc_id", "source"])
+    scorer = hmm.Scorer(learn, "text", s)
+    got = scorer.score(docs, "text", ["doc_id", "source"])
     counts = Counter()
     for r in learn.collect():
         counts.update([*words(r["text"]), None])
     total, distinct = sum(counts.values()), len(counts)
+    # which words are symbols of their own: the end, and the most counted ones
+    lx = scorer.lexicon
+    hashes = lambda w: (lambda data: common.span_hashes(data, np.array([0]), np.array([len(data)])))(np.frombuffer(w.encode(), np.uint8))
+    place = {w: int(lx.find(np.array([hmm.END]) if w is None else hashes(w))[0]) for w in counts}
+    own = {w: int(lx.symbol[p]) for w, p in place.items() if p >= 0 and lx.symbol[p] < symbols}
+    assert None in own and min(counts[w] for w in own if w or len(own) == 1) >= max((c for w, c in counts.items() if w not in own and place[w] >= 0), default=0)
+    klass = lambda w: (w.encode()[-1] * 31 + (w.encode()[-2] if len(w.encode()) > 1 else 0)) % s.classes
+    inside = {}
+    for w, c in counts.items():
+        if w not in own:
+            inside[klass(w)] = inside.get(klass(w), 0) + c + 1
+
+    def plain_score(w):
+        v, out = scorer.model.start, 0.0
+        for x in w:
+            p = v * scorer.model.emit[own[x] if x in own else symbols + klass(x)]
+            out += math.log10(p.sum())
+            v = p / p.sum() @ scorer.model.move
+            if x not in own:
+                out += math.log10((counts[x] + 1) / (inside.get(klass(x), 0) + 1))
+        return out
+
     seen = got.collect()
     assert len(seen) == docs.count()
     for r in seen:
         w = [*words("a row without an id" if r["doc_id"] is None else texts[r["doc_id"] // 3]), None]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w), rel=1e-6)
-        assert math.isfinite(r["score"]) and r["score"] < 0
+        assert r["score"] == pytest.approx(plain_score(w), rel=1e-6)
     nothing = hmm.Scorer(empty, "text", s)
-    assert nothing.score(docs, "text", ["doc_id"]).where("n_known > 0").count() == 0 and nothing.score(empty, "text", ["doc_id"]).count() == 0
+    assert nothing.score(docs, "text", ["doc_id"]).where("n_known > 0 OR score >= 0").count() == 0 and nothing.score(empty, "text", ["doc_id"]).count() == 0
 
 
 def test_training_raises_the_likelihood():
@@ -623,7 +690,7 @@ def test_urls(spark):
 # -- columns whose names clash
 
 
-def test_clashing_columns(docs, tokenizer):
+def test_clashing_columns(docs, tokenizer, tmp_path):
     odd = docs.select("*", *[F.lit("x").alias(c) for c in ("lang_pred", "score", "secrets", "n_words", "n_tokens", "piece", "length", "sequence_id", "offset", "rid", "key", "n", "head", "cid", "t", "h", "item_id", "__pred")])
     assert secrets.find_secrets(odd).where("size(secrets) > 0").count() >= 1
     assert langid.identify(odd, None).schema["score"].dataType.simpleString() == "double"
@@ -632,6 +699,10 @@ def test_clashing_columns(docs, tokenizer):
     assert packing.pack_documents(odd, tokenizer).count() >= odd.count()
     assert jaccard.join(odd).count() == odd.count()
     assert simhash.compare(odd).count() == odd.count()
+    bench = odd.sparkSession.createDataFrame([(1, "one", "x")], "item_id bigint, text string, score string")
+    assert decontam.contaminated(odd, bench).columns == ["doc_id", "item_id", "score"]
+    assert hmm.Scorer(odd, "text", hmm.Settings(rounds=1)).score(odd, "text", ["doc_id"]).count() == odd.count()
+    assert warc.read(warc.write(odd, f"file://{tmp_path}/w", "doc_id", "source", "text")).count() == odd.count()
     assert corpus_pipeline.language_id(odd.sparkSession, odd, "").columns == odd.columns
     assert corpus_pipeline.ngram_jaccard_join(odd.sparkSession, odd, "").columns == odd.columns
 
@@ -673,5 +744,16 @@ def test_pipeline_on_small_tables(spark, sf_dir, empty):
 
 def test_repeated_ids_in_the_pipeline(spark, sf_dir):
     rows = [(1, "some words of a text that is long enough", "en", "s", 1)] * 2 + [(None, "another text without any id at all", "en", "s", 1)] * 2 + [(3, "", "en", "s", 0)]
+    rows += [(1, "quite another text under the same id as the first", "en", "s", 1), (1, "", "en", "s", 0), (1, None, "en", "s", 0)]
+    rows += [(None, "some words of a text that is long enough", "en", "s", 1), (None, "a third text that has no id at all either", "en", "s", 1)]
     out = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, DOCS), sf_dir).collect()
-    assert sorted(str(r["doc_id"]) for r in out) == ["1", "3", "None", "None"]
+    want = [rows[0], rows[2], *rows[4:8], rows[9]]
+    assert table(tuple(r) for r in out) == table(want)
+
+
+def test_contaminated_rows_go_whatever_their_id(spark, tmp_path):
+    item = " ".join(f"bench{i}" for i in range(30))
+    spark.createDataFrame([(0, item), (1, None)], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(None, "before " + item, "en", "s", 1), (None, "clean", "en", "s", 1), (7, item, "en", "s", 1), (7, "clean too", "en", "s", 1), (7, "clean too", "en", "s", 1), (8, None, None, None, None), (9, "", "en", "s", 0)]
+    out = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, DOCS), f"file://{tmp_path}").collect()
+    assert table(tuple(r) for r in out) == table([rows[1], *rows[3:]])
