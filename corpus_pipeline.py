@@ -29,30 +29,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each component of near duplicates (5-word shingles, 80 %).
 
-    Documents without words are linked with nothing and stay; of rows that repeat an id one stays."""
-    settings = jaccard.Settings(n=5, percent=80)
-    (same,) = fresh(docs, "same")
-    groups = jaccard.join(docs.select("doc_id", "text"), settings=settings)
-    keep = groups.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(same)).distinct()
-    rows = docs.withColumn(same, F.col("doc_id")).join(keep, same, "left_semi")
-    null_ids = docs.where(F.col("doc_id").isNull())
-    return rows.drop(same).dropDuplicates(["doc_id"]).unionByName(null_ids).select(*docs.columns)
+    Documents without words are linked with nothing and stay. Rows are told apart by id and text: of rows that repeat both
+    one stays; different texts under one id, or without one, are each judged by their own words."""
+    return jaccard.firsts(docs, settings=jaccard.Settings(n=5, percent=80))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, edited or whole."""
-    hit = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = stored(hit.select("doc_id").where("doc_id IS NOT NULL").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark item, edited or whole, with or without an id; documents without text stay."""
+    a, b = fresh(docs, "a", "b")
+    # a document is its text: equal texts hold the same items
+    keyed = docs.withColumn(a, F.xxhash64("text")).withColumn(b, F.xxhash64("text", F.lit(1)))
+    hit = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=(a, b))
+    return keyed.join(stored(hit.select(a, b).distinct(), "contaminated"), [a, b], "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by a mark; n_chars follows. All documents stay."""
+    """Replace every secret by a mark; n_chars follows. All documents stay; a null text stays null."""
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of at most 2048 tokens."""
+    """Pieces of all documents with their places in sequences of at most 2048 tokens; a null text is the end token alone."""
     import public_tokenizers
 
     out = packing.pack_documents(docs.select("doc_id", "text"), str(public_tokenizers.path("word_bpe_49k.json")))
