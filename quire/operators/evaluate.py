@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import constants as K
-from ..text import strip, words
+from ..text import let, once, shorten, strip, words
 
 
 @F.pandas_udf(StringType())
@@ -26,7 +26,7 @@ def flags(s: Column, o: Column, w: Column) -> Column:
     rest = 1 << 30
     two = F.zip_with(w, F.slice(w, 2, rest), lambda a, b: F.concat(a, F.lit(" "), b))
     three = F.filter(F.zip_with(two, F.slice(w, 3, rest), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
-    loop = (F.size(w) >= 6) & (F.size(three) > F.size(F.array_distinct(three)))
+    loop = (F.size(w) >= 6) & let(three, lambda x: F.size(x) > F.size(F.array_distinct(x)))
     ls, lo = F.length(s), F.length(o)
     return F.array_compact(
         F.array(
@@ -46,10 +46,20 @@ def ratio(s: Column, o: Column) -> Column:
 
 def scan(run: DataFrame) -> DataFrame:
     """run (label, pos, key, page, src, out) with flags, ratio and passthrough."""
-    plain = run.withColumn("__s", _plain(F.col("src"))).withColumn("__o", _plain(F.col("out")))
-    plain = plain.withColumn("__w", words(F.col("__o")))
-    found = plain.withColumn("flags", flags(F.col("__s"), F.col("__o"), F.col("__w"))).withColumn("ratio", ratio(F.col("__s"), F.col("__o")))
-    return found.withColumn("passthrough", strip(F.col("src")) == strip(F.col("out"))).drop("__s", "__o", "__w")
+    plain = once(run, __s=_plain(F.col("src")), __o=_plain(F.col("out")), passthrough=strip(F.col("src")) == strip(F.col("out")))
+    plain = once(plain, __w=words(F.col("__o")))
+    return once(plain, flags=flags(F.col("__s"), F.col("__o"), F.col("__w")), ratio=ratio(F.col("__s"), F.col("__o"))).drop("__s", "__o", "__w")
+
+
+@F.pandas_udf(StringType())
+def _times(r: pd.Series) -> pd.Series:
+    return r.map(lambda x: None if pd.isna(x) else f"×{x:.1f}")
+
+
+def labels(flags: Column, ratio: Column) -> Column:
+    """Flags as a report shows them: largo and corto with the ratio to one decimal (as Python writes it)."""
+    odd = F.exists(flags, lambda f: f.isin("largo", "corto"))
+    return let(_times(F.when(odd, ratio)), lambda r: F.transform(flags, lambda f: F.when(f.isin("largo", "corto"), F.concat(f, r)).otherwise(f)))
 
 
 def summary(scanned: DataFrame) -> DataFrame:
@@ -67,6 +77,12 @@ def _last(run: DataFrame, side: str) -> DataFrame:
     return run.groupBy("key").agg(F.min("pos").alias(f"pos_{side}"), latest.alias(side))
 
 
+def orphans(diffed: DataFrame, show: int = 5) -> DataFrame:
+    """The first blocks, by their place, that only one run has, and the first that only the other has: a report of that length."""
+    one = lambda side: diffed.where(F.col("status") == f"only_{side}").orderBy(f"pos_{side}", "key").limit(show).select("status", F.col(f"pos_{side}").alias("pos"), "page", shorten(F.col(f"src_{side}"), 70).alias("src"))
+    return one("a").unionByName(one("b"))
+
+
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """key, status (same, changed, only_a, only_b), page, both places, sources and outputs."""
     both = _last(a, "a").join(_last(b, "b"), "key", "full_outer")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..text import n_words, strip
+from ..text import let, n_words, strip
 from .structure import PAGE
 
 LEFT, CENTER, RIGHT, JUSTIFY = 0, 1, 2, 3
@@ -49,7 +49,7 @@ def _others(blocks: DataFrame, obstacle: DataFrame) -> DataFrame:
     return mine.unionByName(obstacle.select(*PAGE, F.lit(-1).alias("o_no"), *[F.col(c).alias(f"o_{c}") for c in _BOX]))
 
 
-def limits(blocks: DataFrame, obstacle: DataFrame, page_bottom: float) -> DataFrame:
+def limits(blocks: DataFrame, obstacle: DataFrame, page_bottom: Column | float) -> DataFrame:
     """blocks with min_x, max_x and max_y: how far each may grow. One range join per page serves all three;
     pages are the equality key, so a task holds a page's rectangles, not a table's."""
     page = Window.partitionBy(*PAGE)
@@ -72,7 +72,7 @@ def limits(blocks: DataFrame, obstacle: DataFrame, page_bottom: float) -> DataFr
         "col_right",
         F.least(F.greatest("col_left", "l"), "x0").alias("min_x"),
         F.greatest(F.least("col_right", "r"), "x1").alias("max_x"),
-        F.greatest(F.least(F.lit(page_bottom - 5.0), F.col("y")), "y1").alias("max_y"),
+        F.greatest(F.least((page_bottom if isinstance(page_bottom, Column) else F.lit(page_bottom)) - 5.0, F.col("y")), "y1").alias("max_y"),
     )
 
 
@@ -105,18 +105,21 @@ def fits(box: Column, text: Column, size: Column, leading: Column) -> Column:
 LEADING = 1.2
 
 
-def fit(boxes: Column, text: Column, size: Column) -> Column:
-    """struct<fontsize, lineheight, box>: the boxes at this size, then the last box tighter, then up to 16 times smaller, 5 at least."""
+def fit(boxes: Column, text: Column, size: Column, leading: Column | float = LEADING) -> Column:
+    """struct<fontsize, lineheight, box>; leading: the font's line distance as a share of the size.
+
+    the boxes at this size, then the last box tighter, then up to 16 times smaller, 5 at least."""
     last = F.element_at(boxes, -1)
     plan = lambda s, lh, b: F.struct(s.cast("double").alias("fontsize"), lh.cast("double").alias("lineheight"), b.alias("box"))
-    first = F.get(F.filter(boxes, lambda b: fits(b, text, size, F.lit(LEADING))), F.lit(0))
+    leading = leading if isinstance(leading, Column) else F.lit(leading)
+    first = F.get(F.filter(boxes, lambda b: fits(b, text, size, leading)), F.lit(0))
     out = F.when(first.isNotNull(), plan(size, F.lit(None), first))
     for tight in (0.95, 0.90):
-        out = out.when(fits(last, text, size, F.lit(LEADING * tight)), plan(size, F.lit(LEADING * tight), last))
+        out = out.when(fits(last, text, size, leading * tight), plan(size, leading * tight, last))
     # each try is 8 % smaller than the one before; the first one at 5 points ends them
     tries = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.greatest(F.lit(5.0), size * F.pow(F.lit(0.92), k)))
-    good = F.get(F.filter(tries, lambda s: fits(last, text, s, F.lit(LEADING * 0.90))), F.lit(0))
-    return out.when(good.isNotNull(), plan(good, F.lit(LEADING * 0.90), last)).otherwise(plan(F.lit(5.0), F.lit(LEADING * 0.90), last))
+    good = F.get(F.filter(tries, lambda s: fits(last, text, s, leading * 0.90)), F.lit(0))
+    return out.otherwise(plan(F.coalesce(good, F.lit(5.0)), leading * 0.90, last))
 
 
 def unify(plans: DataFrame, again) -> DataFrame:
@@ -134,15 +137,19 @@ def unify(plans: DataFrame, again) -> DataFrame:
 
 def toc_line(text: Column, width: Column, size: Column) -> Column:
     """A contents line with as many dots as reach the right edge; other text as it is."""
-    pattern = r"(?dU)^(.*?)\s*(?:\.\s*){4,}\s*([0-9ivxlcdmIVXLCDM]+)$"
-    s = strip(text)
-    title = F.regexp_replace(F.regexp_extract(s, pattern, 1), r"[ .]+\z", "")
-    number = F.regexp_extract(s, pattern, 2)
     dot = text_width(F.lit(". "), size)
-    room = width - text_width(F.concat(title, F.lit(" ")), size) - text_width(number, size) - size * 1.5
-    dots = F.least(F.lit(80), F.floor(room / dot).cast("int"))
-    filled = F.concat(title, F.lit(" "), F.repeat(F.lit(". "), F.greatest(dots, F.lit(0))), number)
-    return F.when(~s.rlike(pattern), text).when(room < dot * 2, F.concat(title, F.lit(" "), number)).otherwise(filled)
+
+    def filled(e):
+        room = width - text_width(F.concat(e["title"], F.lit(" ")), size) - text_width(e["number"], size) - size * 1.5
+        dots = F.least(F.lit(80), F.floor(room / dot).cast("int"))
+        return F.when(room < dot * 2, F.concat(e["title"], F.lit(" "), e["number"])).otherwise(F.concat(e["title"], F.lit(" "), F.repeat(F.lit(". "), F.greatest(dots, F.lit(0))), e["number"]))
+
+    def line(s):
+        title = F.regexp_replace(F.regexp_extract(s, K.TOC_LEADER, 1), r"[ .]+\z", "")
+        entry = F.struct(title.alias("title"), F.regexp_extract(s, K.TOC_LEADER, 2).alias("number"))
+        return F.when(s.rlike(K.TOC_LEADER), let(entry, filled)).otherwise(text)
+
+    return let(strip(text), line)
 
 
 def indented(text: Column, indent: Column, align: Column, size: Column) -> Column:
@@ -155,3 +162,7 @@ def or_source(out: Column, src: Column) -> Column:
     """The source where the output is blank; null where both are: nothing is inserted."""
     some = lambda c: F.when(strip(c) != "", c)
     return F.coalesce(some(out), some(src))
+
+
+#: Rows of a table of font metrics that are sent to the workers: there are a dozen standard fonts.
+MOST_FONTS = 10_000

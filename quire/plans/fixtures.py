@@ -7,21 +7,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A line as a block of one of twelve kinds.
-DRESSED = """CASE (doc_id * 31 + line_no) % 12
- WHEN 0 THEN ti || ' . . . . . . ' || (doc_id % 400 + 1)
- WHEN 1 THEN '2.3. ' || ti || '          xvii'
- WHEN 2 THEN ti || ' | ' || (doc_id % 400 + 1)
- WHEN 3 THEN 'xviii | ' || ti
+#: A line, whole, as a block of one of eight kinds.
+DRESSED = """CASE (doc_id * 31 + line_no) % 8
+ WHEN 0 THEN t || ' . . . . . . ' || (doc_id % 400 + 1)
+ WHEN 1 THEN '2.3. ' || t || '          xvii'
+ WHEN 2 THEN t || ' | ' || (doc_id % 400 + 1)
+ WHEN 3 THEN 'xviii | ' || t
  WHEN 4 THEN '[ ' || (doc_id % 400 + 1) || ' ] Ana B. Ruiz and Tom Vale. ' || t
- WHEN 5 THEN t || ' (see "' || ti || '" on page ' || (doc_id % 400 + 1) || ').'
- WHEN 6 THEN CASE doc_id % 4 WHEN 0 THEN 'Fault  Tolerance:' WHEN 1 THEN 'PREFACE' WHEN 2 THEN 'What’s New in the Second Edition?' ELSE ' batch processing. ' END
- WHEN 7 THEN CASE doc_id % 3 WHEN 0 THEN '' || (doc_id % 400 + 1) WHEN 1 THEN 'xvii' ELSE '12 - 3' END
- WHEN 8 THEN CASE doc_id % 4 WHEN 0 THEN 'Martin Kleppmann' WHEN 1 THEN 'Chris Ware' WHEN 2 THEN 'Data Streams' ELSE '- Jay Kreps' END
- WHEN 9 THEN 'Ann Lee, Bob Ray, Cyd Young, Dan Poe, Eve Orr, Flo Kay, Gus Hall ' || (doc_id % 7)
- WHEN 10 THEN '“' || ti || '” — Data-Intensive ' || (doc_id % 400 + 1)
+ WHEN 5 THEN t || ' (see "' || CASE doc_id % 3 WHEN 0 THEN 'Harbour Lights' ELSE 'Notes on Tides' END || '" on page ' || (doc_id % 400 + 1) || ').'
+ WHEN 6 THEN '“' || t || '” — Half-Timbered ' || (doc_id % 400 + 1)
  ELSE t END"""
 
+#: Beside each line, a short block that no line would be.
+SHORT = """CASE (doc_id * 7 + line_no) % 16
+ WHEN 0 THEN 'Harbour  Lights:' WHEN 1 THEN 'FOREWORD' WHEN 2 THEN 'What’s Kept in the Old Boathouse?' WHEN 3 THEN ' tide tables. '
+ WHEN 4 THEN '' || (doc_id % 400 + 1) WHEN 5 THEN 'xvii' WHEN 6 THEN '12 - 3' WHEN 7 THEN 'Marta Quinlan' WHEN 8 THEN 'Owen Bright' WHEN 9 THEN 'Tide Models'
+ WHEN 10 THEN '- Jan Lindqvist' WHEN 11 THEN 'Ann Lee, Bob Ray, Cyd Young, Dan Poe, Eve Orr, Flo Kay, Gus Hall ' || (doc_id % 7)
+ WHEN 12 THEN 'Knots . . . . . . ' || (doc_id % 400 + 1) WHEN 13 THEN 'Harbour Lights . . . . . ' || (doc_id % 400 + 1) WHEN 14 THEN 'f ( x , y ) = a + b' ELSE 'www.example.org' END"""
+
 #: A line's place on its page.
 GEOMETRY = [
     "cast(floor(line_no / 40.0) as int) AS page_index",
@@ -37,17 +40,22 @@ GEOMETRY = [
     "cast((doc_id + line_no) % 3 * 8 as double) AS indent",
 ]
 
-#: Engine output: a line's beginning with the faults that engines make.
+#: Engine output: a line, whole, with the faults that engines make.
 MUTATED = """CASE (doc_id * 31 + line_no) % 9
- WHEN 0 THEN ti || ' ' || ti || ' fin'
- WHEN 1 THEN ti || '. ' || ti
- WHEN 2 THEN '⁇ndices y ⁇ltimo ' || ti
- WHEN 3 THEN 'Uno ' || ti || ' : uno .'
- WHEN 4 THEN 'edición 2a edición de ' || ti
+ WHEN 0 THEN t || ' ' || t || ' fin'
+ WHEN 1 THEN t || '. ' || t
+ WHEN 2 THEN '⁇ndices y ⁇ltimo ' || t
+ WHEN 3 THEN 'Uno ' || t || ' : uno .'
+ WHEN 4 THEN 'barco 2o barco de ' || t
  WHEN 5 THEN ''
- WHEN 6 THEN 'casa casa ' || ti || ' a b c a b c'
- WHEN 7 THEN 'Almacenamiento Orientado Columna de la columna'
- ELSE ti || ' , versión 3.5 estable' END"""
+ WHEN 6 THEN 'casa casa ' || t || ' a b c a b c'
+ WHEN 7 THEN t || ' Faro Costero Piedra de la piedra'
+ ELSE t || ' , marea 3.5 estable' END"""
+
+#: Beside each, a heading as engines give them.
+HEADING = """CASE (doc_id + line_no) % 6
+ WHEN 0 THEN 'Faro Costero Piedra de la piedra' WHEN 1 THEN 'Muelles del Norte. Los muelles del sur' WHEN 2 THEN 'Barcos frente a otros barcos 3'
+ WHEN 3 THEN '⁇ndice de mareas' WHEN 4 THEN '¿Barco barco viejo? , sí' ELSE 'Puerto 2o puerto de la costa' END"""
 
 #: Stored runs: which lines a run has, and what became of them.
 IN_A, IN_B = "(doc_id + line_no) % 11 <> 0", "(doc_id + line_no) % 13 <> 0"
@@ -57,43 +65,29 @@ KEY = "'p' || doc_id || ':' || (line_no - line_no % 50 + CASE WHEN line_no % 50
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, t, ti (first four words, without quotes, 60 characters at most)."""
+    """doc_id, line_no, t."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t"))
-    ti = F.substring(F.replace(F.array_join(F.slice(F.split("t", " "), 1, 4), " "), F.lit('"')), 1, 60)
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "t", ti.alias("ti"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def _two(rows: DataFrame, columns: list[str], first: str, second: str, out: str) -> DataFrame:
+    """Two rows for each line; line_no tells line and which of the two."""
+    each = rows.selectExpr("doc_id", "line_no", "t", f"posexplode(array({first}, {second})) AS (k, {out})")
+    return each.selectExpr("doc_id", "line_no * 2 + k AS line_no", *columns, out)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "t", "ti", f"{DRESSED} AS text")
+    """Every whole line as a block, and a short block beside it."""
+    return _two(lines(spark, sf_dir), ["t"], DRESSED, SHORT, "text")
 
 
 def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "t", "ti", *GEOMETRY)
+    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "t", *GEOMETRY)
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "ti AS src", f"{MUTATED} AS out")
-
-
-#: The whole line within what makes a block of each kind; every line in all of them.
-WHOLE_BLOCKS = """array(t || ' . . . . . . ' || (doc_id % 400 + 1), '2.3. ' || t || '          xvii', t || ' | ' || (doc_id % 400 + 1), 'xviii | ' || t,
- '[ ' || (doc_id % 400 + 1) || ' ] Ana B. Ruiz and Tom Vale. ' || t, t || ' (see "' || replace(t, '"', '') || '" on page ' || (doc_id % 400 + 1) || ').',
- '“' || t || '” — Data-Intensive ' || (doc_id % 400 + 1), t)"""
-
-#: Engine output: the whole line with each of the faults that engines make; every line with all of them.
-WHOLE_OUTPUTS = """array(t || ' ' || t || ' fin', t || '. ' || t, '⁇ndices y ⁇ltimo ' || t, 'Uno ' || t || ' : uno .', 'edición 2a edición de ' || t, '',
- 'casa casa ' || t || ' a b c a b c', t || ' Almacenamiento Orientado Columna de la columna', t || ' , versión 3.5 estable')"""
-
-
-def whole_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """blocks() of whole lines, each in every kind; line_no tells line and kind (line * 8 + kind)."""
-    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "t", "ti", f"posexplode({WHOLE_BLOCKS}) AS (k, text)").selectExpr("doc_id", "line_no * 8 + k AS line_no", "t", "ti", "text")
-
-
-def whole_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """outputs() of whole lines, each with every fault; line_no tells line and fault (line * 9 + fault)."""
-    return lines(spark, sf_dir).selectExpr("doc_id", "line_no", "t AS src", f"posexplode({WHOLE_OUTPUTS}) AS (k, out)").selectExpr("doc_id", "line_no * 9 + k AS line_no", "src", "out")
+    """Every whole line as an engine's output, and a heading beside it."""
+    return _two(lines(spark, sf_dir), ["t AS src"], MUTATED, HEADING, "out")
 
 
 def run(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
@@ -112,13 +106,28 @@ def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "block_no", "line_no", F.concat(part, F.when(inside, hyphen).otherwise("")).alias("line"))
 
 
+def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw blocks as a parser gives them, doc_id a string: a document's cut lines, one to four a block, each of two spans; every
+    ninth block is one of contents, and every other page has single lines only."""
+    rows = cut_lines(spark, sf_dir).selectExpr("doc_id", "row_number() OVER (PARTITION BY doc_id ORDER BY block_no, line_no) - 1 AS at", "line")
+    rows = rows.selectExpr("doc_id", "line", "cast(floor(at / 36.0) as int) AS page_index", "cast(at % 36 as int) AS place")
+    rows = rows.selectExpr("*", "CASE WHEN page_index % 2 = 0 THEN place ELSE cast(floor(place / (1 + (doc_id % 4))) as int) END AS block_no")
+    rows = rows.withColumn("line", F.expr("CASE WHEN page_index % 2 = 1 AND block_no % 9 = 4 THEN line || ' ..... ' || (place + 1) ELSE line END"))
+    y0 = "72.0 + 14.0 * place + CASE WHEN place % 7 = 6 THEN 9.0 ELSE 0.0 END"
+    box = f"cast(named_struct('x0', 72.0 + CASE WHEN place % 5 = 0 THEN 12.0 ELSE 0.0 END, 'y0', {y0}, 'x1', 300.0 + place, 'y1', {y0} + 10.0) as struct<x0:double,y0:double,x1:double,y1:double>)"
+    part = lambda text: f"named_struct('text', {text}, 'size', 10.0D, 'flags', 0, 'font', 'Times-Roman', 'color', 0, 'bbox', box)"
+    rows = rows.withColumn("box", F.expr(box)).withColumn("line", F.expr(f"named_struct('place', place, 'bbox', box, 'spans', array({part('substring(line, 1, 9)')}, {part('substring(line, 10)')}))"))
+    grouped = rows.groupBy("doc_id", "page_index", "block_no").agg(F.array_sort(F.collect_list("line"), lambda a, b: a["place"] - b["place"]).alias("l"), *[F.expr(f"{f}(box.{c}) AS {c}") for f, c in (("min", "x0"), ("min", "y0"), ("max", "x1"), ("max", "y1"))])
+    return grouped.selectExpr("cast(doc_id as string) AS doc_id", "page_index", "block_no", "0 AS type", "struct(x0, y0, x1, y1) AS bbox", "transform(l, x -> struct(x.bbox, x.spans)) AS lines")
+
+
 # -- the same inputs for the SQL that queries are held against
 
-LINES_SQL = """fx AS (SELECT doc_id, CAST(u.i - 1 AS BIGINT) AS line_no, ls[u.i] AS t, substr(replace(array_to_string(string_split(ls[u.i], ' ')[1:4], ' '), '"', ''), 1, 60) AS ti
+LINES_SQL = """fx AS (SELECT doc_id, CAST(u.i - 1 AS BIGINT) AS line_no, ls[u.i] AS t
  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i))"""
-BLOCKS_SQL = f"{LINES_SQL}, f1 AS (SELECT doc_id, line_no, t, ti, {DRESSED} AS text FROM fx)"
-GEOMETRY_SQL = f"{LINES_SQL}, f3 AS (SELECT doc_id, line_no, t, ti, {', '.join(GEOMETRY)} FROM fx)"
-OUTPUTS_SQL = f"{LINES_SQL}, f5 AS (SELECT doc_id, line_no, ti AS src, {MUTATED} AS out FROM fx)"
+BLOCKS_SQL = f"{LINES_SQL}, f1 AS (SELECT doc_id, line_no * 2 AS line_no, t, {DRESSED} AS text FROM fx UNION ALL SELECT doc_id, line_no * 2 + 1, t, {SHORT} FROM fx)"
+GEOMETRY_SQL = f"{LINES_SQL}, f3 AS (SELECT doc_id, line_no, t, {', '.join(GEOMETRY)} FROM fx)"
+OUTPUTS_SQL = f"{LINES_SQL}, f5 AS (SELECT doc_id, line_no * 2 AS line_no, t AS src, {MUTATED} AS out FROM fx UNION ALL SELECT doc_id, line_no * 2 + 1, t, {HEADING} FROM fx)"
 
 
 def run_sql(name: str, label: str) -> str:

@@ -96,6 +96,12 @@ def eval_scan_flags(spark, sf_dir):
     return _scan(spark, sf_dir).where(F.size("flags") > 0).select("label", "pos", F.array_join("flags", ",").alias("flags"), "ratio")
 
 
+@query(f"""{_DIFF}, o AS ((SELECT status, pos_a AS pos, page, key FROM d WHERE status = 'only_a' ORDER BY pos_a, key LIMIT 5) UNION ALL (SELECT status, pos_b, page, key FROM d WHERE status = 'only_b' ORDER BY pos_b, key LIMIT 5)) SELECT status, pos, page FROM o""")
+def eval_orphans(spark, sf_dir):
+    """The first five blocks on either side that the other run does not have: a report of that length."""
+    return E.orphans(_diff(spark, sf_dir)).select("status", "pos", "page")
+
+
 @query(f"{_SCAN} SELECT label, count(*) AS blocks, count(*) FILTER (WHERE {_sw('out')} = {_sw('src')}) AS passthrough, count(*) FILTER (WHERE len(fl) > 0) AS suspects FROM f GROUP BY label")
 def eval_scan_summary(spark, sf_dir):
     return E.summary(_scan(spark, sf_dir))
@@ -113,8 +119,8 @@ def block_keys(spark, sf_dir):
 
 
 @query(f"WITH {X1.BLOCKS_SQL}, s AS (SELECT doc_id, line_no, {_sw(f'''regexp_replace(text, '{_WS}+', ' ', 'g')''')} AS c FROM f1) SELECT doc_id, line_no, CASE WHEN length(c) > 90 THEN substr(c, 1, 89) || '…' ELSE c END AS short FROM s")
-def short_text(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.shorten(F.col("text")).alias("short"))
+def short_text(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.shorten(F.col("text")).alias("short"))
 
 
 # -- predicates and parts of blocks
@@ -130,8 +136,8 @@ def _needs(x: str) -> str:
 def _flag(name: str, make, sql: str):
     """A query for a predicate over the dressed lines."""
 
-    def run(spark, sf_dir, given=X1.blocks):
-        return given(spark, sf_dir).select(*_KEY, make(F.col("text")).alias("hit"))
+    def run(spark, sf_dir):
+        return X1.blocks(spark, sf_dir).select(*_KEY, make(F.col("text")).alias("hit"))
 
     run.__name__ = name
     query(f"WITH {X1.BLOCKS_SQL}, w AS (SELECT *, {_wd('text')} AS ws FROM f1) SELECT doc_id, line_no, {sql} AS hit FROM w")(run)
@@ -169,8 +175,8 @@ _flag("toc_lines", X.is_toc_line, r"regexp_matches(text, '(?i)[\s.]{3,}[\divxlcd
 
 
 @query(f"WITH {X1.BLOCKS_SQL}, w AS (SELECT *, {_wd('text')} AS ws FROM f1), x AS (SELECT *, {_TOKENS} AS ts FROM w) SELECT doc_id, line_no, {_LIST} AS hit FROM x")
-def name_lists(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.is_name_list(F.col("text")).alias("hit"))
+def name_lists(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.is_name_list(F.col("text")).alias("hit"))
 
 
 _AUTHOR = rf"""WITH {X1.BLOCKS_SQL}, p AS (SELECT doc_id, line_no, unnest(string_split(text, '. ')) AS part, generate_subscripts(string_split(text, '. '), 1) AS k FROM f1),
@@ -181,9 +187,9 @@ SELECT doc_id, line_no, CAST(k - 1 AS BIGINT) AS k, (len(ws) BETWEEN 2 AND 30 AN
 
 
 @query(_AUTHOR)
-def author_sentences(spark, sf_dir, given=X1.blocks):
+def author_sentences(spark, sf_dir):
     """Author lists among the dressed lines' parts."""
-    parts = given(spark, sf_dir).select(*_KEY, F.posexplode(F.split("text", r"\. ")).alias("k", "part"))
+    parts = X1.blocks(spark, sf_dir).select(*_KEY, F.posexplode(F.split("text", r"\. ")).alias("k", "part"))
     return parts.select(*_KEY, F.col("k").cast("long").alias("k"), T.is_author_sentence(F.col("part")).alias("hit"))
 
 
@@ -202,8 +208,8 @@ def _foot(x: str) -> str:
 
 
 @query(f"WITH {X1.BLOCKS_SQL}, x AS (SELECT doc_id, line_no, {_foot('text')} AS f FROM f1) SELECT doc_id, line_no, f.p AS prefix, f.t AS title, f.s AS suffix FROM x WHERE f IS NOT NULL")
-def split_footer(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.footer(F.col("text")).alias("f")).where("f IS NOT NULL").select(*_KEY, "f.*")
+def split_footer(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.footer(F.col("text")).alias("f")).where("f IS NOT NULL").select(*_KEY, "f.*")
 
 
 _TE = r"^(.+?)\s*((?:\.\s*){4,}|\s{8,})([\divxlcdmIVXLCDM]+)\s*$"
@@ -215,13 +221,13 @@ def _toc(x: str) -> str:
 
 
 @query(f"WITH {X1.BLOCKS_SQL}, x AS (SELECT doc_id, line_no, {_toc(_sw('text'))} AS f FROM f1) SELECT doc_id, line_no, f.t AS title, f.s AS suffix, f.m AS several FROM x WHERE f IS NOT NULL")
-def split_toc(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.toc_entry(F.col("text")).alias("f")).where("f IS NOT NULL").select(*_KEY, "f.*")
+def split_toc(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.toc_entry(F.col("text")).alias("f")).where("f IS NOT NULL").select(*_KEY, "f.*")
 
 
 @query(rf"WITH {X1.BLOCKS_SQL} SELECT doc_id, line_no, regexp_extract(text, '^(\d+(?:\.\d+)*\.\s+)', 1) AS prefix FROM f1")
-def chapter_prefix(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.chapter_prefix(F.col("text")).alias("prefix"))
+def chapter_prefix(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.chapter_prefix(F.col("text")).alias("prefix"))
 
 
 _REF = r"regexp_extract({}, '^(\[\s*\d+\s*\]\s*)', 1)"
@@ -232,8 +238,8 @@ def _refp(x: str) -> str:
 
 
 @query(f"WITH {X1.BLOCKS_SQL} SELECT doc_id, line_no, {_refp('text')} AS prefix FROM f1")
-def ref_prefix(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.reference_prefix(F.col("text")).alias("prefix"))
+def ref_prefix(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.reference_prefix(F.col("text")).alias("prefix"))
 
 
 def _gkey(x: str) -> str:
@@ -248,8 +254,8 @@ def _terms() -> str:
 
 
 @query(f"WITH {X1.BLOCKS_SQL}, {_terms()} SELECT doc_id, line_no, tr AS translation FROM f1 JOIN g ON {_gkey('text')} = k")
-def glossary_lookup(spark, sf_dir, given=X1.blocks):
-    return glossary.lookup(given(spark, sf_dir), F.col("text"), glossary.load(spark), "translation").where("translation IS NOT NULL").select(*_KEY, "translation")
+def glossary_lookup(spark, sf_dir):
+    return glossary.lookup(X1.blocks(spark, sf_dir), F.col("text"), glossary.load(spark), "translation").where("translation IS NOT NULL").select(*_KEY, "translation")
 
 
 def _norm(x: str) -> str:
@@ -258,8 +264,8 @@ def _norm(x: str) -> str:
 
 
 @query(f"WITH {X1.BLOCKS_SQL} SELECT doc_id, line_no, {_norm('text')} AS normal FROM f1")
-def normalize_text(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.normalize(F.col("text")).alias("normal"))
+def normalize_text(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.normalize(F.col("text")).alias("normal"))
 
 
 def _sentences(x: str) -> str:
@@ -270,8 +276,8 @@ def _sentences(x: str) -> str:
 
 
 @query(f"WITH {X1.BLOCKS_SQL}, s AS (SELECT doc_id, line_no, {_sentences('text')} AS ss FROM f1) SELECT doc_id, line_no, CAST(i - 1 AS BIGINT) AS k, ss[i] AS sentence FROM s, unnest(range(1, len(ss) + 1)) u(i)")
-def split_sentences(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, F.posexplode(T.sentences(F.col("text"))).alias("k", "sentence")).withColumn("k", F.col("k").cast("long"))
+def split_sentences(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, F.posexplode(T.sentences(F.col("text"))).alias("k", "sentence")).withColumn("k", F.col("k").cast("long"))
 
 
 def _rs(x: str, chars: str = _WS) -> str:
@@ -280,8 +286,8 @@ def _rs(x: str, chars: str = _WS) -> str:
 
 @query(rf"""WITH {X1.BLOCKS_SQL}, n AS (SELECT doc_id, line_no, {_rs(_norm(_sw('text')))} AS c FROM f1), s AS (SELECT *, (len({_wd('c')}) <= 30 AND c <> '' AND NOT regexp_matches(c, '[.!?:;]$')) AS sentinel FROM n)
 SELECT doc_id, line_no, CASE WHEN sentinel THEN c || '.' ELSE c END AS text, sentinel, (sentinel AND len({_wd('c')}) <= 12) AS heading FROM s""")
-def sentinel_headings(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, R.with_sentinel(T.rstrip(T.normalize(T.strip(F.col("text"))))).alias("s")).select(*_KEY, "s.*")
+def sentinel_headings(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, R.with_sentinel(T.rstrip(T.normalize(T.strip(F.col("text"))))).alias("s")).select(*_KEY, "s.*")
 
 
 def _nw(x: str) -> str:
@@ -293,8 +299,8 @@ def _prefixes(x: str) -> str:
 
 
 @query(f"WITH {X1.BLOCKS_SQL}, p AS (SELECT doc_id, line_no, {_prefixes('text')} AS p FROM f1) SELECT doc_id, line_no, len(p) > len(list_distinct(p)) AS hit FROM p")
-def dup_prefixes(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.has_repeated_prefix(F.col("text")).alias("hit"))
+def dup_prefixes(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.has_repeated_prefix(F.col("text")).alias("hit"))
 
 
 _MASKED = rf"""WITH {X1.BLOCKS_SQL}, {_terms()}, m AS (SELECT *, regexp_extract(text, '\(\s*see\s+"([^"”]{{3,90}})"\s+on\s+page\s+(\d+)\s*\)', 1) AS ti2, regexp_extract(text, '\(\s*see\s+"([^"”]{{3,90}})"\s+on\s+page\s+(\d+)\s*\)', 2) AS pg FROM f1)
@@ -303,8 +309,8 @@ FROM m LEFT JOIN g ON {_gkey('ti2')} = k WHERE pg <> ''"""
 
 
 @query(_MASKED)
-def mask_cross_refs(spark, sf_dir, given=X1.blocks):
-    rows = R.mask_references(given(spark, sf_dir), "text", glossary.load(spark), _KEY)
+def mask_cross_refs(spark, sf_dir):
+    rows = R.mask_references(X1.blocks(spark, sf_dir), "text", glossary.load(spark), _KEY)
     return rows.where(F.size("restores") > 0).select(*_KEY, "masked", F.get("restores", F.lit(0))["rendered"].alias("rendered"))
 
 
@@ -321,14 +327,14 @@ z AS (SELECT *, CASE WHEN route IN ('trivial', 'name', 'names') THEN text WHEN r
 
 
 @query(f"{_ROUTE} SELECT doc_id, line_no, route, direct, CASE WHEN direct IS NULL THEN pre ELSE '' END AS prefix, CASE WHEN direct IS NULL THEN suf ELSE '' END AS suffix FROM z")
-def route_blocks(spark, sf_dir, given=X1.blocks):
-    rows = R.route(given(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text", _KEY)
+def route_blocks(spark, sf_dir):
+    rows = R.route(X1.blocks(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text", _KEY)
     return rows.select(*_KEY, "route", "direct", "prefix", "suffix")
 
 
 @query(f"{_ROUTE} SELECT route, count(*) AS blocks, count(direct) AS direct FROM z GROUP BY route")
-def route_counts(spark, sf_dir, given=X1.blocks):
-    rows = R.route(given(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text", _KEY)
+def route_counts(spark, sf_dir):
+    rows = R.route(X1.blocks(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text", _KEY)
     return rows.groupBy("route").agg(F.count(F.lit(1)).alias("blocks"), F.count("direct").alias("direct"))
 
 
@@ -359,38 +365,52 @@ def decode_caps(spark, sf_dir):
     return caps.groupBy("doc_id", F.col("bucket").cast("long").alias("bucket")).agg(F.max("cap").cast("long").alias("cap"))
 
 
+@query(f"{_BUCKETS} SELECT doc_id, line_no, CAST(CASE WHEN doc_id % 2 = 0 THEN longest + 5 WHEN longest <= 3 THEN longest + 3 WHEN longest <= 5 THEN longest + 4 WHEN longest <= 20 THEN longest + 8 ELSE least(longest + 15, 200) END AS BIGINT) AS cap FROM l")
+def capped_batches(spark, sf_dir):
+    """Sentences of each document through the engine that shows its cap: how long the outputs of each batch may be."""
+    rows = X1.lines(spark, sf_dir).select("doc_id", "line_no", F.lit(0).alias("pos"), (F.col("doc_id") % 2 == 0).alias("toc"), F.lit(False).alias("author"), F.col("t").alias("sentence"))
+    got = B.translate(rows, ["doc_id", "line_no"], engines.Caps)
+    return got.select("doc_id", "line_no", F.col("raw").cast("long").alias("cap"))
+
+
 @query()
-def fan_out_in(spark, sf_dir, given=X1.blocks):
+def fan_out_in(spark, sf_dir):
     """Every block through the whole translation flow with the engine that gives sentences back."""
-    rows = plans.translate(given(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), _KEY, engine=engines.Identity)
+    rows = plans.translate(X1.blocks(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), _KEY, engine=engines.Identity)
     return rows.select(*_KEY, "route", "text", "out")
 
 
 # -- engine output
 
 def _cleaned(name: str, make, sql: str | None = None):
-    def run(spark, sf_dir, given=X1.outputs):
-        return given(spark, sf_dir).select(*_KEY, make(F.col("out")).alias("clean"))
+    def run(spark, sf_dir):
+        return X1.outputs(spark, sf_dir).select(*_KEY, make(F.col("out")).alias("clean"))
 
     run.__name__ = name
     query(sql)(run)
 
 
 _HEADS = "out"
-for _capital, _group in K.UNK_HEADS.items():
-    _HEADS = rf"regexp_replace({_HEADS}, '⁇\s?({'|'.join(sorted(_group.split(), key=len, reverse=True))})([^a-záéíóúüñ]|$)', '{_capital}\1\2', 'g')"
-
-_cleaned("recover_unk", P.recover_heads_col, f"WITH {X1.OUTPUTS_SQL} SELECT doc_id, line_no, {_HEADS} AS clean FROM f5")
-_COLLAPSED = f"""WITH RECURSIVE {X1.OUTPUTS_SQL}, w0 AS (SELECT doc_id, line_no, {_wd('out')} AS w FROM f5),
-r AS (SELECT doc_id, line_no, w, 6 AS n, 1 AS i, false AS ch, false AS done FROM w0
- UNION ALL SELECT doc_id, line_no,
-  CASE WHEN hit THEN list_concat(w[1:i + n - 1], w[i + 2 * n:]) ELSE w END, CASE WHEN room THEN n WHEN n > 2 THEN n - 1 ELSE 6 END, CASE WHEN hit THEN i WHEN room THEN i + 1 ELSE 1 END,
-  CASE WHEN hit THEN true WHEN room OR n > 2 THEN ch ELSE false END, NOT room AND n = 2 AND NOT ch
- FROM (SELECT *, i - 1 + 2 * n <= len(w) AS room, i - 1 + 2 * n <= len(w) AND lower(array_to_string(w[i:i + n - 1], ' ')) = lower(array_to_string(w[i + n:i + 2 * n - 1], ' ')) AS hit FROM r WHERE NOT done))
-SELECT doc_id, line_no, array_to_string(w, ' ') AS clean FROM r WHERE done"""
-_cleaned("collapse_ngrams", P.collapse_col, _COLLAPSED)
-_cleaned("truncate_output", P.truncate_col)
-_cleaned("compact_heading", lambda c: P.compact_col(c, F.lit(True)))
+for _capital in dict.fromkeys(K.UNK_HEADS.values()):
+    _HEADS = rf"regexp_replace({_HEADS}, '⁇\s?({'|'.join(sorted((w for w, a in K.UNK_HEADS.items() if a == _capital), key=len, reverse=True))})([^a-záéíóúüñ]|$)', '{_capital}\1\2', 'g')"
+
+_cleaned("recover_unk", P.recover_heads, f"WITH {X1.OUTPUTS_SQL} SELECT doc_id, line_no, {_HEADS} AS clean FROM f5")
+# SQL for this one takes a step a word: too slow on whole lines, so tests hold it against brute force
+_cleaned("collapse_ngrams", P.collapse_col)
+_cleaned("truncate_output", P.truncate)
+
+
+def _content(x: str) -> str:
+    return f"list_transform({_wd(x)}, lambda a: CASE WHEN length({_nw('a')}) >= 5 AND NOT ({_in(_nw('a'), K.FUNC_WORDS)}) THEN substr({_nw('a')}, 1, 5) ELSE '' END)"
+
+
+_COMPACTED = rf"""WITH {X1.OUTPUTS_SQL}, a AS (SELECT *, regexp_extract(out, '(?s)^(.*?[.!?])\s*\S', 1) AS head FROM f5),
+b AS (SELECT *, CASE WHEN head <> '' AND length(head) >= 0.4::DOUBLE * length(out) AND list_has_any(list_filter({_content('head')}, lambda y: y <> ''), list_filter({_content('substr(out, length(head) + 1)')}, lambda y: y <> '')) THEN {_sw('head')} ELSE out END AS c FROM a),
+d AS (SELECT *, {_wd('c')} AS w, {_content('c')} AS p FROM b),
+e AS (SELECT *, CASE WHEN len(w) BETWEEN 3 AND 10 THEN list_filter(range(2, len(w)), lambda i: CAST(i AS DOUBLE) / len(w) >= 0.6::DOUBLE AND p[i + 1] <> '' AND list_contains(p[1:i], p[i + 1]))[1] END AS i FROM d),
+f AS (SELECT *, list_max(list_filter(range(1, coalesce(i, 0) + 1), lambda k: {_nw('w[k]')} <> '' AND NOT ({_in(_nw('w[k]'), K.FUNC_WORDS)}))) AS z FROM e)
+SELECT doc_id, line_no, regexp_replace(CASE WHEN i IS NOT NULL AND z IS NOT NULL THEN array_to_string(w[1:z], ' ') ELSE c END, '[,;: ]+$', '') AS clean FROM f"""
+_cleaned("compact_heading", lambda c: P.compact(c, F.lit(True)), _COMPACTED)
 _POLISHED = r"regexp_replace(out, '\s+([:;,.!?%])', '\1', 'g')"
 _cleaned(
     "polish_heading",
@@ -407,18 +427,18 @@ def _letters(x: str) -> str:
 w AS (SELECT *, {_wd('src')} AS sw, {_wd(_sw('out'))} AS ow FROM p)
 SELECT doc_id, line_no, (len(sw) <= 3 AND ({_sw('out')} = '' OR len(list_filter(ow, lambda x: length(regexp_replace(x, '\P{{L}}', '', 'g')) >= 3)) = 0
  OR (len(sw) = 1 AND len(ow) = 1 AND length({_letters('src')}) >= 4 AND length({_letters('out')}) - length(replace({_letters('out')}, substr({_letters('src')}, 1, 4), '')) >= 8))) AS hit FROM w""")
-def degenerate_guard(spark, sf_dir, given=X1.outputs):
+def degenerate_guard(spark, sf_dir):
     first = F.split_part("src", F.lit(" "), F.lit(1))
-    rows = given(spark, sf_dir).select(*_KEY, F.when(F.col("doc_id") % 3 == 0, first).otherwise(F.col("src")).alias("src"), F.when(F.col("doc_id") % 3 == 0, F.concat(first, F.lower(first))).otherwise(F.col("out")).alias("out"))
+    rows = X1.outputs(spark, sf_dir).select(*_KEY, F.when(F.col("doc_id") % 3 == 0, first).otherwise(F.col("src")).alias("src"), F.when(F.col("doc_id") % 3 == 0, F.concat(first, F.lower(first))).otherwise(F.col("out")).alias("out"))
     return rows.select(*_KEY, T.is_degenerate(F.col("src"), F.col("out")).alias("hit"))
 
 
 @query(rf"""WITH {X1.OUTPUTS_SQL} SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN src || ' (ver x) ' || src WHEN 1 THEN src || ' (ver x) ' || src ELSE regexp_replace(src, '{_WS}+$', '') || ' (ver x)' END AS clean FROM f5""")
-def restore_wrap(spark, sf_dir, given=X1.outputs):
+def restore_wrap(spark, sf_dir):
     """References put back at their marker, at one with spaces, and at the end."""
     marked = F.expr("CASE line_no % 3 WHEN 0 THEN src || ' (901) ' || src WHEN 1 THEN src || ' ( 901 ) ' || src ELSE src END")
     marks = F.array(F.struct(F.lit("(901)").alias("marker"), F.lit("(ver x)").alias("rendered")))
-    return given(spark, sf_dir).select(*_KEY, P.restore(marked, marks).alias("clean"))
+    return X1.outputs(spark, sf_dir).select(*_KEY, P.restore(marked, marks).alias("clean"))
 
 
 # -- structure
@@ -444,22 +464,22 @@ def dehyphenate(spark, sf_dir):
 
 
 _KINDS = rf"""WITH {X1.BLOCKS_SQL}, w AS (SELECT doc_id, line_no, text, {_wd('text')} AS ws, (doc_id + line_no) % 10 = 0 AS tb FROM f1),
-k AS (SELECT doc_id, line_no, CASE WHEN tb THEN 'table' WHEN length(text) < 2 THEN 'short' WHEN regexp_matches(text, '(?i)[\s.]{{3,}}[\divxlcdm]+\s*$') THEN 'tocln'
+k AS (SELECT doc_id, line_no, CASE WHEN tb THEN 'table' WHEN line_no % 5 = 0 AND regexp_matches(text, '(?i)[\s.]{{3,}}[\divxlcdm]+\s*$') THEN 'toc' WHEN length(text) < 2 THEN 'short' WHEN regexp_matches(text, '(?i)[\s.]{{3,}}[\divxlcdm]+\s*$') THEN 'tocln'
  WHEN {ORACLES['formula_blocks'].split(' AS ws FROM f1) SELECT doc_id, line_no, ')[1].removesuffix(' AS hit FROM w')} OR {ORACLES['url_blocks'].split(' AS ws FROM f1) SELECT doc_id, line_no, ')[1].removesuffix(' AS hit FROM w')} THEN 'skipped'
- ELSE CASE WHEN line_no % 3 = 0 THEN 'multi' ELSE 'single' END END AS kind, CAST(floor(line_no / 40.0) AS INT) AS page_index, CAST(line_no AS INT) AS block_no FROM w)"""
+ ELSE CASE WHEN line_no % 5 = 0 OR line_no % 3 = 0 THEN 'multi' ELSE 'single' END END AS kind, CAST(floor(line_no / 40.0) AS INT) AS page_index, CAST(line_no AS INT) AS block_no FROM w)"""
 
 
-def _kinds(spark, sf_dir, given=X1.blocks):
+def _kinds(spark, sf_dir):
     text = F.col("text")
-    # a third of the blocks have a second line
-    lines = F.when((F.col("line_no") % 3 == 0) & ~X.is_toc_line(text), F.array(text, text)).otherwise(F.array(text))
+    # a fifth of the blocks have three lines, a third of the others two
+    lines = F.when(F.col("line_no") % 5 == 0, F.array(text, text, text)).when((F.col("line_no") % 3 == 0) & ~X.is_toc_line(text), F.array(text, text)).otherwise(F.array(text))
     kind = X.block_kind(lines, text, (F.col("doc_id") + F.col("line_no")) % 10 == 0)
-    return given(spark, sf_dir).select(*_KEY, kind.alias("kind"), F.floor(F.col("line_no") / 40).cast("int").alias("page_index"), F.col("line_no").cast("int").alias("block_no"))
+    return X1.blocks(spark, sf_dir).select(*_KEY, kind.alias("kind"), F.floor(F.col("line_no") / 40).cast("int").alias("page_index"), F.col("line_no").cast("int").alias("block_no"))
 
 
 @query(f"{_KINDS} SELECT doc_id, line_no, kind FROM k")
-def block_kinds(spark, sf_dir, given=X1.blocks):
-    return _kinds(spark, sf_dir, given).select(*_KEY, "kind")
+def block_kinds(spark, sf_dir):
+    return _kinds(spark, sf_dir).select(*_KEY, "kind")
 
 
 @query(f"{_KINDS}, m AS (SELECT *, count(*) FILTER (WHERE kind = 'single') OVER (PARTITION BY doc_id, page_index) AS s, count(*) FILTER (WHERE kind = 'multi') OVER (PARTITION BY doc_id, page_index) AS m FROM k) SELECT doc_id, line_no, (s >= 4 AND 10 * s >= 6 * (s + m)) AS merge FROM m")
@@ -510,6 +530,14 @@ def merge_paragraphs(spark, sf_dir):
     return X.paragraphs(rows).select("doc_id", "page_index", F.col("block_no").cast("long").alias("line_no"), "para", "p_x0", "p_y0", "p_x1", "p_y1", "indent")
 
 
+@query()
+def extract_blocks(spark, sf_dir):
+    """Raw blocks, with string ids, through the whole extraction: hyphens, tables, contents lines, paragraphs."""
+    raw = X1.raw_blocks(spark, sf_dir)
+    tables = raw.where("page_index % 3 = 0 AND block_no % 11 = 3").selectExpr("doc_id", "page_index", "bbox.*", "2 AS col_count", "block_no % 4 AS row_count")
+    return plans.extract(raw, tables).select("doc_id", "page_index", "block_no", "line_no", "kind", "text", "x0", "y0", "x1", "y1", "indent")
+
+
 # -- layout
 
 _OBSTACLES = "ob AS (SELECT doc_id, page_index, x0 + 20 AS x0, y0 + 30 AS y0, x1 + 60 AS x1, y1 + 40 AS y1, line_no FROM f3 WHERE line_no % 15 = 0)"
@@ -603,8 +631,8 @@ def unpack_color(spark, sf_dir):
 
 
 @query(f"WITH {X1.BLOCKS_SQL} SELECT doc_id, line_no, replace(translate(text, '“”‘’—– ', '\"\"''''-- '), '…', '...') AS safe FROM f1")
-def font_safe(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, T.font_safe(F.col("text")).alias("safe"))
+def font_safe(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, T.font_safe(F.col("text")).alias("safe"))
 
 
 def _width(x: str, size: str = "size") -> str:
@@ -646,19 +674,19 @@ _TL = r"^(.*?)\s*(?:\.\s*){4,}\s*([0-9ivxlcdmIVXLCDM]+)$"
 p AS (SELECT *, regexp_replace(regexp_extract(x, '{_TL}', 1), '[ .]+$', '') AS ti, regexp_extract(x, '{_TL}', 2) AS num FROM s),
 r AS (SELECT *, width - {_width("(ti || ' ')")} - {_width('num')} - size * 1.5 AS room, {_width("'. '")} AS dot FROM p)
 SELECT doc_id, line_no, CASE WHEN NOT regexp_matches(x, '{_TL}') THEN text WHEN room < dot * 2 THEN ti || ' ' || num ELSE ti || ' ' || repeat('. ', least(80, CAST(floor(room / dot) AS INT))) || num END AS line FROM r""")
-def toc_leader(spark, sf_dir, given=X1.blocks):
-    return given(spark, sf_dir).select(*_KEY, L.toc_line(F.col("text"), F.lit(200.0) + F.col("line_no") % 100, F.lit(10.0)).alias("line"))
+def toc_leader(spark, sf_dir):
+    return X1.blocks(spark, sf_dir).select(*_KEY, L.toc_line(F.col("text"), F.lit(200.0) + F.col("line_no") % 100, F.lit(10.0)).alias("line"))
 
 
-@query(f"WITH {X1.GEOMETRY_SQL} SELECT doc_id, line_no, CASE WHEN indent > 2 AND line_no % 2 = 0 THEN repeat(' ', greatest(1, CAST(round_even(indent / (size * 0.25), 0) AS INT))) || ti ELSE ti END AS line FROM f3")
+@query(f"WITH {X1.GEOMETRY_SQL} SELECT doc_id, line_no, CASE WHEN indent > 2 AND line_no % 2 = 0 THEN repeat(' ', greatest(1, CAST(round_even(indent / (size * 0.25), 0) AS INT))) || t ELSE t END AS line FROM f3")
 def indent_spaces(spark, sf_dir):
     align = F.when(F.col("line_no") % 2 == 0, L.JUSTIFY).otherwise(L.CENTER)
-    return _boxes(spark, sf_dir).select(*_KEY, L.indented(F.col("ti"), F.col("indent"), align, F.col("size")).alias("line"))
+    return _boxes(spark, sf_dir).select(*_KEY, L.indented(F.col("t"), F.col("indent"), align, F.col("size")).alias("line"))
 
 
 @query(f"WITH {X1.OUTPUTS_SQL} SELECT doc_id, line_no, CASE WHEN {_sw('out')} <> '' THEN out WHEN {_sw('src')} <> '' THEN src END AS shown FROM f5")
-def restore_empty(spark, sf_dir, given=X1.outputs):
-    return given(spark, sf_dir).select(*_KEY, L.or_source(F.col("out"), F.col("src")).alias("shown"))
+def restore_empty(spark, sf_dir):
+    return X1.outputs(spark, sf_dir).select(*_KEY, L.or_source(F.col("out"), F.col("src")).alias("shown"))
 
 
 @query()
@@ -719,38 +747,3 @@ def stream_scan(spark, sf_dir):
     X1.run(spark, sf_dir, "A").selectExpr(*[f"cast({c.split()[0]} as {c.split()[1]}) AS {c.split()[0]}" for c in RUN_BLOCKS.split(", ")]).write.parquet(f"{base}/in")
     out = run_to_end(start(spark, f"{base}/in").select("label", "pos", F.array_join("flags", ",").alias("flags")), f"{base}/out", f"{base}/checkpoint")
     return out
-
-
-# -- the same over whole lines
-
-
-def _whole(name: str, given) -> None:
-    """A query of the same operator over whole lines, each in every kind or with every fault; no SQL goes with it."""
-
-    def run(spark, sf_dir):
-        return QUERIES[name](spark, sf_dir, given)
-
-    run.__name__ = f"{name}_whole"
-    query()(run)
-
-
-for _name, _of in list(QUERIES.items()):
-    _given = (_of.__defaults__ or (None,))[0]
-    if _given in (X1.blocks, X1.outputs):
-        _whole(_name, X1.whole_blocks if _given is X1.blocks else X1.whole_outputs)
-
-
-@query()
-def degenerate_guard_whole(spark, sf_dir):
-    """Every line with every fault, and every first word with itself glued on; line_no tells line, fault and which of the two."""
-    rows = X1.whole_outputs(spark, sf_dir)
-    first = F.split_part("src", F.lit(" "), F.lit(1))
-    both = F.array(F.struct(F.lit(0).alias("k"), "src", "out"), F.struct(F.lit(1).alias("k"), first.alias("src"), F.concat(first, F.lower(first)).alias("out")))
-    rows = rows.select("doc_id", "line_no", F.inline(both)).withColumn("line_no", F.col("line_no") * 2 + F.col("k"))
-    return rows.select(*_KEY, T.is_degenerate(F.col("src"), F.col("out")).alias("hit"))
-
-
-@query()
-def indent_spaces_whole(spark, sf_dir):
-    align = F.when(F.col("line_no") % 2 == 0, L.JUSTIFY).otherwise(L.CENTER)
-    return _boxes(spark, sf_dir).select(*_KEY, L.indented(F.col("t"), F.col("indent"), align, F.col("size")).alias("line"))

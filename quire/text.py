@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -45,20 +45,34 @@ def in_set(c: Column, values) -> Column:
     return c.isin(list(values))
 
 
+def let(c: Column, f) -> Column:
+    """f of c's value: c is worked out once, however often f looks at it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are worked out once: no later filter or projection takes their expressions apart."""
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.inline(F.array(row)))
+
+
+def mapped(c: Column, table: dict[str, str]) -> Column:
+    """Characters replaced by what the table has for them."""
+    one = [a for a in table if len(table[a]) == 1]
+    c = F.translate(c, "".join([*one, *(a for a in table if not table[a])]), "".join(table[a] for a in one))
+    for a in table:
+        if len(table[a]) > 1:
+            c = F.replace(c, F.lit(a), F.lit(table[a]))
+    return c
+
+
 def normalize(c: Column) -> Column:
     """Typographic characters to ASCII, then Title-Case hyphens to spaces."""
-    one, to = K.UNICODE_ONE
-    c = F.translate(c, one + K.UNICODE_GONE, to)
-    for a, b in K.UNICODE_MANY:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, K.TITLE_HYPHEN, "$1 $2")
+    return F.regexp_replace(mapped(c, K.UNICODE), K.TITLE_HYPHEN, "$1 $2")
 
 
 def font_safe(c: Column) -> Column:
-    c = F.translate(c, *K.FONT_ONE)
-    for a, b in K.FONT_MANY:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return mapped(c, K.FONT_SAFE)
 
 
 def glossary_key(c: Column) -> Column:
@@ -77,8 +91,7 @@ def shorten(c: Column, n: int = 90) -> Column:
 
 
 def needs_translation(c: Column) -> Column:
-    s = strip(c)
-    return ~((F.length(s) <= 1) | s.rlike(K.TRIVIAL) | ((F.length(s) <= 6) & s.rlike(K.ROMAN)))
+    return let(strip(c), lambda s: ~((F.length(s) <= 1) | s.rlike(K.TRIVIAL) | ((F.length(s) <= 6) & s.rlike(K.ROMAN))))
 
 
 def is_page_number(c: Column) -> Column:
@@ -86,22 +99,27 @@ def is_page_number(c: Column) -> Column:
 
 
 def is_proper_name(c: Column) -> Column:
-    w = words(c)
-    first, last = F.get(w, F.lit(0)), F.get(w, F.lit(1))
     suffix = "(?i)(?:" + "|".join(K.ENGLISH_SUFFIXES) + r")\z"
-    ok = is_alpha(first) & is_alpha(last) & starts_upper(first) & starts_upper(last)
-    ok &= ~in_set(first, K.TITLE_COMMON) & ~in_set(last, K.TITLE_COMMON) & (F.length(last) >= 5)
-    return (F.size(w) == 2) & F.coalesce(ok & ~last.rlike(suffix) & ~in_set(last, K.COMMON_SECOND_WORDS), F.lit(False))
+
+    def name(w):
+        first, last = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        ok = is_alpha(first) & is_alpha(last) & starts_upper(first) & starts_upper(last)
+        ok &= ~in_set(first, K.TITLE_COMMON) & ~in_set(last, K.TITLE_COMMON) & (F.length(last) >= 5)
+        return (F.size(w) == 2) & F.coalesce(ok & ~last.rlike(suffix) & ~in_set(last, K.COMMON_SECOND_WORDS), F.lit(False))
+
+    return let(words(c), name)
 
 
 def is_name_list(c: Column) -> Column:
-    w = F.transform(words(c), lambda x: strip_chars(x, r".,;:()\[\]"))
-    alpha = F.filter(w, lambda x: is_alpha(x) & (F.length(x) >= 2))
-    lower = F.filter(alpha, lambda x: (F.length(x) >= 4) & starts_lower(x))
-    upper = F.filter(alpha, starts_upper)
     commas = F.length(c) - F.length(F.replace(c, F.lit(",")))
-    # a share of more than 0.70, without a division
-    return (commas >= 5) & (F.size(alpha) >= 8) & (F.size(lower) <= 3) & (10 * F.size(upper) > 7 * F.size(alpha))
+
+    def many(alpha):
+        lower = F.filter(alpha, lambda x: (F.length(x) >= 4) & starts_lower(x))
+        # a share of more than 0.70, without a division
+        return (F.size(alpha) >= 8) & (F.size(lower) <= 3) & (10 * F.size(F.filter(alpha, starts_upper)) > 7 * F.size(alpha))
+
+    w = F.transform(words(c), lambda x: strip_chars(x, r".,;:()\[\]"))
+    return F.when(commas < 5, F.lit(False)).otherwise(let(F.filter(w, lambda x: is_alpha(x) & (F.length(x) >= 2)), many))
 
 
 def is_author_sentence(c: Column) -> Column:
@@ -113,10 +131,12 @@ def is_author_sentence(c: Column) -> Column:
 
 def toc_entry(c: Column) -> Column:
     """struct<title, suffix, several (two words or more)>, null for other text."""
-    s = strip(c)
-    title = F.regexp_replace(F.regexp_extract(s, K.TOC_ENTRY, 1), r"[. ]+\z", "")
-    page = F.regexp_extract(s, K.TOC_ENTRY, 3)
-    return F.when(s.rlike(K.TOC_ENTRY), F.struct(title.alias("title"), F.concat(F.lit(" ." * 10 + " "), page).alias("suffix"), (n_words(title) >= 2).alias("several")))
+    def entry(s):
+        title = F.regexp_replace(F.regexp_extract(s, K.TOC_ENTRY, 1), r"[. ]+\z", "")
+        page = F.regexp_extract(s, K.TOC_ENTRY, 3)
+        return F.when(s.rlike(K.TOC_ENTRY), F.struct(title.alias("title"), F.concat(F.lit(" ." * 10 + " "), page).alias("suffix"), (n_words(title) >= 2).alias("several")))
+
+    return let(strip(c), entry)
 
 
 def footer(c: Column) -> Column:
@@ -152,7 +172,7 @@ def sentences(c: Column) -> Column:
 def has_repeated_prefix(c: Column, least: int = 4) -> Column:
     w = F.transform(F.regexp_extract_all(c, F.lit(K.LATIN_WORD), F.lit(0)), norm_word)
     p = F.transform(F.filter(w, lambda x: (F.length(x) >= least) & ~in_set(x, K.FUNC_WORDS)), lambda x: F.substring(x, 1, 5))
-    return F.size(p) > F.size(F.array_distinct(p))
+    return let(p, lambda p: F.size(p) > F.size(F.array_distinct(p)))
 
 
 def is_url(c: Column) -> Column:
@@ -160,16 +180,18 @@ def is_url(c: Column) -> Column:
 
 
 def is_formula(c: Column) -> Column:
-    w = words(c)
-    n = F.size(w)
-    real = F.size(F.filter(w, lambda x: is_alpha(x) & (F.length(x) >= 3)))
-    single = F.size(F.filter(w, lambda x: F.length(strip_chars(x, r".,;:()\[\]{}")) <= 1))
-    return (F.length(c) <= 160) & ~c.rlike(K.DOT_LEADER) & (n >= 3) & (100 * real < 35 * n) & ((10 * single > 4 * n) | c.rlike(K.MATH))
+    def signs(w):
+        n = F.size(w)
+        real = F.size(F.filter(w, lambda x: is_alpha(x) & (F.length(x) >= 3)))
+        single = F.size(F.filter(w, lambda x: F.length(strip_chars(x, r".,;:()\[\]{}")) <= 1))
+        return (n >= 3) & (100 * real < 35 * n) & ((10 * single > 4 * n) | c.rlike(K.MATH))
+
+    return F.when(F.length(c) > 160, F.lit(False)).otherwise(~c.rlike(K.DOT_LEADER) & let(words(c), signs))
 
 
 def polish(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?U)\s+([:;,.!?%])", "$1")
-    return F.when(starts_lower(c), F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))).otherwise(c)
+    upper = lambda c: F.when(starts_lower(c), F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))).otherwise(c)
+    return let(F.regexp_replace(c, r"(?U)\s+([:;,.!?%])", "$1"), upper)
 
 
 def is_degenerate(src: Column, out: Column) -> Column:
