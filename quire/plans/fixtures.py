@@ -64,9 +64,17 @@ RUN_OUT = """CASE WHEN (doc_id + line_no) % 17 = 0 THEN '⁇ ' || t WHEN (doc_id
 KEY = "'p' || doc_id || ':' || (line_no - line_no % 50 + CASE WHEN line_no % 50 = 49 THEN 48 ELSE line_no % 50 END)"
 
 
+#: Bytes of documents for each core below which they are dealt anew.
+SMALL = 64 << 20
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, line_no, t."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # a small file is one row group and would be one task
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * SMALL:
+        docs = docs.repartition(cores, "doc_id")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "t")).withColumn("line_no", F.col("line_no").cast("long"))
 
 

@@ -328,13 +328,13 @@ z AS (SELECT *, CASE WHEN route IN ('trivial', 'name', 'names') THEN text WHEN r
 
 @query(f"{_ROUTE} SELECT doc_id, line_no, route, direct, CASE WHEN direct IS NULL THEN pre ELSE '' END AS prefix, CASE WHEN direct IS NULL THEN suf ELSE '' END AS suffix FROM z")
 def route_blocks(spark, sf_dir):
-    rows = R.route(X1.blocks(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text", _KEY)
+    rows = R.decide(X1.blocks(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text")
     return rows.select(*_KEY, "route", "direct", "prefix", "suffix")
 
 
 @query(f"{_ROUTE} SELECT route, count(*) AS blocks, count(direct) AS direct FROM z GROUP BY route")
 def route_counts(spark, sf_dir):
-    rows = R.route(X1.blocks(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text", _KEY)
+    rows = R.decide(X1.blocks(spark, sf_dir).select(*_KEY, "text"), glossary.load(spark), "text")
     return rows.groupBy("route").agg(F.count(F.lit(1)).alias("blocks"), F.count("direct").alias("direct"))
 
 

@@ -79,14 +79,14 @@ def test_caps(spark, toc, n, cap):
 
 
 def test_translation_flow(spark):
-    texts = ["Fault Tolerance", "Martin Kleppmann", "12", "Data models | 7", "2. Storage things here . . . . 9", "[ 3 ] Ana B. Ruiz and Tom Vale. The big idea works.", 'Look (see "Preface" on page 4).', None, ""]
+    texts = ["Harbour Lights", "Marta Quinlan", "12", "Knots | 7", "2. Storage things here . . . . 9", "[ 3 ] Ana B. Ruiz and Tom Vale. The big idea works.", 'Look (see "Foreword" on page 4).', None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     out = {r["k"]: (r["route"], r["out"]) for r in plans.translate(df, glossary.load(spark), ["k"]).collect()}
-    assert out[0] == ("glossary", "Tolerancia a fallos") and out[1] == ("name", "Martin Kleppmann") and out[2] == ("trivial", "12")
-    assert out[3] == ("footer", "Modelos de datos | 7")
+    assert out[0] == ("glossary", "Luces del puerto") and out[1] == ("name", "Marta Quinlan") and out[2] == ("trivial", "12")
+    assert out[3] == ("footer", "Nudos | 7")
     assert out[4] == ("toc", "2. Storage things here . . . . . . . . . . 9")
     assert out[5] == ("body", "[ 3 ] Ana B. Ruiz y Tom Vale. The big idea works.")
-    assert out[6][1] == 'Look (ver "Prefacio" en la página 4).'
+    assert out[6][1] == 'Look (ver "Prólogo" en la página 4).'
     assert out[8] == ("trivial", "")
 
 
@@ -98,6 +98,121 @@ def test_engine_batches_do_not_change_the_result(spark):
     assert a == b
 
 
+def test_batches_are_those_of_the_document(spark):
+    """Caps follow a document's own sentences, whatever partitions and Arrow batches they come in."""
+    rows = [(d, i, False, False, " ".join("w" * (1 + (7 * i + d) % 45))) for d in range(4) for i in range(90)]
+    df = spark.createDataFrame(rows, "d int, pos int, toc boolean, author boolean, sentence string")
+    want = {}
+    for d in range(4):
+        own = sorted((len(s.split()), i) for dd, i, _, _, s in rows if dd == d)
+        while own:
+            some = [x for x in own[:32] if x[0] <= 1.25 * own[0][0]]
+            most = some[-1][0]
+            cap = most + 3 if most <= 3 else most + 4 if most <= 5 else most + 8 if most <= 20 else min(most + 15, 200)
+            want |= {(d, i): str(cap) for _, i in some}
+            own = own[len(some) :]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    for n in (1, 5):
+        got = {(r["d"], r["pos"]): r["raw"] for r in batching.translate(df.repartition(n), ["d"], engines.Caps).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def plain_join(lines, known):
+    import re
+
+    text = ""
+    for x in lines:
+        tail = re.search("[A-Za-zÀ-ÿ]+$", text[:-1]) if text[-1:] in ("-", "‐", "‑") else None
+        word = re.match("[A-Za-zÀ-ÿ]+", x)
+        if not text:
+            text = x
+        elif text[-1] not in "-‐‑" or not x[0].isalpha():
+            text += " " + x
+        elif x[0].islower() and (text[-1] != "-" or (tail and word and (tail[0] + word[0]).lower() in known)):
+            text = text[:-1] + x
+        else:
+            text += x
+    return text
+
+
+def test_hyphens(spark):
+    import random
+    import re
+
+    rng = random.Random(4)
+    halves = ["in", "ter", "na", "tion", "al", "Inter", "l", "é", "3", "x.", "TCP", "ß", "ñu"]
+    blocks, words = [], {}
+    for d in "pqr":
+        for b in range(60):
+            line = lambda: " ".join("".join(rng.choice(halves) for _ in range(rng.randrange(1, 3))) for _ in range(rng.choice([1, 1, 2]))) + rng.choice(["-", "-", "‐", "‑", "", "."])
+            blocks.append((d, b, [line() for _ in range(rng.randrange(1, 6))]))
+        for _, _, ls in blocks:
+            words.setdefault(d, set()).update(w.lower() for x in ls for w in re.findall("[A-Za-zÀ-ÿ]+", x))
+        blocks.append((d, 100, ["Internal international", "inter‐", "na-", "tional"]))
+        words[d] |= {"internal", "international", "inter", "na", "tional"}
+    rows = [(d, b, i, x) for d, b, ls in blocks for i, x in enumerate(ls)]
+    words = {d: {w.lower() for dd, _, _, x in rows if dd == d for w in re.findall("[A-Za-zÀ-ÿ]+", x)} for d in "pqr"}
+    got = {(r["doc_id"], r["block_no"]): r["text"] for r in structure.dehyphenate(spark.createDataFrame(rows, "doc_id string, block_no int, line_no int, line string")).collect()}
+    assert got == {(d, b): plain_join(ls, words[d]) for d, b, ls in blocks}
+    assert got["p", 100] == "Internal international international"
+
+
+def test_extraction(spark):
+    """Hyphens, short and skipped blocks, tables, contents lines and paragraphs of whole pages."""
+    from quire import schemas as S
+
+    def block(page, no, lines, x0=72.0, y0=None, kind=0):
+        y0 = 100.0 + 12 * no if y0 is None else y0
+        box = lambda i: {"x0": x0, "y0": y0 + 12 * i, "x1": 300.0, "y1": y0 + 12 * i + 10}
+        spans = lambda x: [{"text": t, "size": 10.0, "flags": 0, "font": "f", "color": 0, "bbox": box(0)} for t in (x[: x.find(" ") + 1], x[x.find(" ") + 1 :])]
+        return ("file:/a.pdf", page, no, kind, {**box(0), "y1": box(len(lines) - 1)["y1"]}, [{"bbox": box(i), "spans": spans(x)} for i, x in enumerate(lines)])
+
+    raw = [
+        block(0, 0, ["The inter‐", "national market grew"]), block(0, 1, ["A"]), block(0, 2, ["x = f ( y ) + 1"]), block(0, 3, ["www.example.org"]),
+        block(0, 4, ["One ....... 1", "Heading", "Two ....... 2", "", "Three ..... 3"]), block(0, 5, ["Alone ....... 12"]), block(0, 6, ["in a table"]), block(0, 7, ["not text"], kind=1), block(0, 8, ["cell in a well-", "formed one"]),
+        block(1, 0, ["First line of a para-"], x0=84.0), block(1, 1, ["graph that goes on"]), block(1, 2, ["z"]), block(1, 3, ["and ends."]), block(1, 4, ["The paragraph after"], x0=84.0), block(1, 5, ["far away"], y0=400.0),
+    ]
+    tables = spark.createDataFrame([("file:/a.pdf", 0, 0.0, 100.0 + 12 * 6, 600.0, 100.0 + 12 * 6 + 11, 2, 2), ("file:/a.pdf", 1, 0.0, 0.0, 600.0, 800.0, 1, 9)], S.TABLES)
+    got = plans.extract(spark.createDataFrame(raw, S.RAW_BLOCKS), tables).orderBy("page_index", "block_no", "line_no").collect()
+    assert [(r["page_index"], r["block_no"], r["line_no"], r["kind"], r["text"]) for r in got] == [
+        (0, 0, 0, "multi", "The international market grew"),
+        (0, 4, 0, "toc", "One ....... 1"), (0, 4, 1, "toc", "Heading"), (0, 4, 2, "toc", "Two ....... 2"), (0, 4, 4, "toc", "Three ..... 3"),
+        (0, 5, 0, "tocln", "Alone ....... 12"),
+        (0, 8, 0, "multi", "cell in a well-formed one"),
+        (1, 0, 0, "single", "First line of a paragraph that goes on and ends."), (1, 4, 0, "single", "The paragraph after"), (1, 5, 0, "single", "far away"),
+    ]
+    para = got[7]
+    assert (para["x0"], para["y0"], para["x1"], para["y1"], para["indent"]) == (72, 100, 300, 146, 12) and para["spans"][0]["text"] == "First "
+    assert (got[8]["x0"], got[8]["indent"]) == (84, 0) and got[3]["y0"] == 100 + 12 * 4 + 24
+
+
+def test_whole_job(spark, tmp_path):
+    """Files to plans and to a stored run, with page sizes of their own and a file that cannot be read."""
+    (tmp_path / "good.bin").write_bytes("Harbour Lights\nThe tide comes in\nMarta Quinlan".encode())
+    (tmp_path / "bad.bin").write_bytes(b"!")
+    box = lambda i: {"x0": 72.0, "y0": 100.0 + 30 * i, "x1": 300.0, "y1": 112.0 + 30 * i}
+
+    def blocks(content):
+        if content == b"!":
+            raise ValueError("broken")
+        return [{"page_index": 0, "block_no": i, "type": 0, "bbox": box(i), "lines": [{"bbox": box(i), "spans": [{"text": t, "size": 10.0, "flags": 0, "font": "Times", "color": 0, "bbox": box(i)}]}]} for i, t in enumerate(content.decode().split("\n"))]
+
+    def pages(content):
+        return [{"page_index": 0, "width": 400.0, "height": 150.0}]
+
+    done, placed, failed = plans.run_job(spark, f"file://{tmp_path}/*.bin", glossary.load(spark), {"blocks": blocks, "pages": pages}, pages="1")
+    assert [r["error"] for r in failed.collect()] == ["ValueError: broken"]
+    assert sorted((r["route"], r["out"]) for r in done.collect()) == [("body", "The tide comes in"), ("glossary", "Luces del puerto"), ("name", "Marta Quinlan")]
+    rows = {r["text"]: r for r in placed.collect()}
+    assert rows["Harbour Lights"]["shown"] == "Luces del puerto" and rows["Marta Quinlan"]["page_height"] == 150 and rows["Marta Quinlan"]["max_y"] == 172
+    scanned = plans.run_and_store(done, f"file://{tmp_path}/run", {"label": "a"})
+    assert [r["key"] for r in scanned.orderBy("pos").collect()] == [f"p0:72.0,{100.0 + 30 * i},300.0,{112.0 + 30 * i}" for i in range(3)]
+    assert spark.read.json(f"file://{tmp_path}/run/meta").first()["n_blocks"] == "3"
+    with pytest.raises(ValueError):
+        plans.run_job(spark, f"file://{tmp_path}/good.bin", glossary.load(spark), {"blocks": blocks}, "en", "en")
+
+
 def test_hardware(spark):
     df = spark.createDataFrame([(2.0, False), (8.0, False), (8.0, True), (16.0, False), (16.0, True), (32.0, False)], "ram_gb double, gpu boolean")
     got = [r["model"] for r in hardware.recommend(df, hardware.catalogue(spark)).orderBy("ram_gb", "gpu").collect()]
@@ -121,7 +236,7 @@ def test_sources(spark, tmp_path):
         return [{"page_index": 0, "block_no": i, "type": 0, "bbox": {"x0": 0.0, "y0": float(i), "x1": 9.0, "y1": i + 1.0}, "lines": [{"spans": [{"text": t}]}]} for i, t in enumerate(content.decode().split())]
 
     raw = sources.read_documents(spark, f"file://{tmp_path}/*.bin", parse)
-    assert raw.where("error IS NOT NULL").first()["error"] == "ValueError: broken"
+    assert sources.failed_documents(raw).first()["error"] == "ValueError: broken"
     tables = spark.createDataFrame([], "doc_id string, page_index int, x0 double, y0 double, x1 double, y1 double, col_count int, row_count int")
     assert sorted(r["text"] for r in plans.extract(raw, tables).collect()) == ["one", "two"]
     pages = spark.createDataFrame([("d", 0), ("d", 1), ("d", 2)], "doc_id string, page_index int")
