@@ -170,10 +170,10 @@ def test_extraction(spark):
 
     raw = [
         block(0, 0, ["The inter‐", "national market grew"]), block(0, 1, ["A"]), block(0, 2, ["x = f ( y ) + 1"]), block(0, 3, ["www.example.org"]),
-        block(0, 4, ["One ....... 1", "Heading", "Two ....... 2", "", "Three ..... 3"]), block(0, 5, ["Alone ....... 12"]), block(0, 6, ["in a table"]), block(0, 7, ["not text"], kind=1), block(0, 8, ["cell in a well-", "formed one"]),
+        block(0, 4, ["One ....... 1", "Heading", "Two ....... 2", "", "Three ..... 3"]), block(0, 5, ["Alone ....... 12"]), block(0, 6, ["in a table"], y0=700.0), block(0, 7, ["not text"], kind=1), block(0, 8, ["cell in a well-", "formed one"]),
         block(1, 0, ["First line of a para-"], x0=84.0), block(1, 1, ["graph that goes on"]), block(1, 2, ["z"]), block(1, 3, ["and ends."]), block(1, 4, ["The paragraph after"], x0=84.0), block(1, 5, ["far away"], y0=400.0),
     ]
-    tables = spark.createDataFrame([("file:/a.pdf", 0, 0.0, 100.0 + 12 * 6, 600.0, 100.0 + 12 * 6 + 11, 2, 2), ("file:/a.pdf", 1, 0.0, 0.0, 600.0, 800.0, 1, 9)], S.TABLES)
+    tables = spark.createDataFrame([("file:/a.pdf", 0, 0.0, 690.0, 600.0, 720.0, 2, 2), ("file:/a.pdf", 1, 0.0, 0.0, 600.0, 800.0, 1, 9)], S.TABLES)
     got = plans.extract(spark.createDataFrame(raw, S.RAW_BLOCKS), tables).orderBy("page_index", "block_no", "line_no").collect()
     assert [(r["page_index"], r["block_no"], r["line_no"], r["kind"], r["text"]) for r in got] == [
         (0, 0, 0, "multi", "The international market grew"),
