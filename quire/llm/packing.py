@@ -1,28 +1,26 @@
 """Best-fit packing of token sequences.
 
-Documents are cut into pieces of at most the capacity. Pieces and gaps are kept in order of size as
-run-length classes: all pieces of one length are one class, all open sequences with one gap another,
-so there are never more than capacity + 1 classes of either, whatever the number of documents. One
-bulk-synchronous round takes the longest class of pieces left; a successor sweep over the gap
-classes matches it with the smallest gap that takes it, as many at once as both classes have; gaps
-are updated and the round repeats until the class is placed, new sequences being opened when no gap
-is left. That is best-fit decreasing, with every tie done at once. Which piece of a class gets which
-place is decided by its rank, counted across partitions of the range-sorted pieces, so that two
-pieces never want the same place.
+Documents are cut into pieces of at most the capacity. Pieces are placed from the longest on, in bands
+of lengths over half the longest one left, by bulk-synchronous rounds over rows: pieces and open gaps
+are range-sorted together by size; every part of that order is swept for successors, a piece taking
+the smallest gap of its part that holds it; what parts leave meets by rank, the pieces of one part and
+the gaps of a part before it, so that no two pieces want the same room; gaps are updated and the round
+repeats. New sequences are opened only for pieces longer than every gap, no more at once than these
+surely need. A round is a written table: lost executors cost the work of one round at most.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, flat, fresh, plus, ragged, span_hashes, stored, word_bounds
+from .common import LOWER, blocks, flat, free, fresh, plus, ragged, span_hashes, stored, word_bounds
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; past it, the memory starts anew.
@@ -169,82 +167,190 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(cut, out)
 
 
-def best_fit(classes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """(length, rank_from, rank_to, sequence, offset): piece number r of that length, rank_from <= r < rank_to,
-    goes to sequence + (r - rank_from) at offset. classes: length -> number of pieces."""
-    gaps: list[deque] = [deque() for _ in range(capacity + 1)]  # ranges of sequences with this gap
-    open_bits = 0  # bit g: some sequence has gap g
-    placed, sequences = [], 0
-    for length in sorted(classes, reverse=True):
-        left, rank = classes[length], 0
-        while left:
-            fitting = open_bits >> length
-            if fitting:
-                gap = length + (fitting & -fitting).bit_length() - 1  # the successor: the smallest gap that takes it
-            else:
-                per = capacity // length
-                gap, n = capacity, -(-left // per)
-                gaps[gap].append((sequences, sequences + n))
-                sequences += n
-                open_bits |= 1 << gap
-            lo, hi = gaps[gap].popleft()
-            take = min(left, hi - lo)
-            placed.append((length, rank, rank + take, lo, capacity - gap))
-            if lo + take < hi:
-                gaps[gap].appendleft((lo + take, hi))
-            if not gaps[gap]:
-                open_bits &= ~(1 << gap)
-            rest = gap - length
-            if rest:
-                gaps[rest].append((lo, lo + take))
-                open_bits |= 1 << rest
-            left -= take
-            rank += take
-    return placed
-
-
-def ranked(pieces: DataFrame, order: list[str], rank: str) -> DataFrame:
-    """pieces with the rank (from 0) of each within its length, without bringing a length into one task.
-
-    pieces must be a stored table: its sort is by range, and a partition's number is used twice."""
-    pid, before = fresh(pieces, "pid", "before")
-    sorted_ = stored(pieces.repartitionByRange("length", *order).withColumn(pid, F.spark_partition_id()), "pieces")
-    counts = sorted_.groupBy("length", pid).agg(F.count(F.lit(1)).alias(before))
-    # a length has at most one row per partition here
-    earlier = Window.partitionBy("length").orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
-    local = F.row_number().over(Window.partitionBy(pid, "length").orderBy(*order)) - 1
-    return sorted_.withColumn(rank, local.cast("long")).join(counts, ["length", pid]).withColumn(rank, F.col(rank) + F.col(before)).drop(pid, before)
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """pieces with sequence_id and offset. Ties of length go by the columns of order."""
-    spark = pieces.sparkSession
-    (rank,) = fresh(pieces, "rank")
-    with_rank = ranked(pieces, list(order), rank)
-    # at most `capacity` rows reach the driver
-    classes = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    placed = np.array(best_fit(classes, capacity), np.int64).reshape(-1, 5)
-    shared = spark.sparkContext.broadcast(placed)  # a few rows for each length: bounded by the capacity, not the corpus
-    schema = plus(with_rank.schema, "sequence_id bigint, offset bigint")
-
-    def place(batches):
+#: Rows of pieces and gaps that one task sweeps at most, and those for which another task is not worth while.
+MOST_ROWS, FEW_ROWS = 1 << 20, 1 << 12
+#: What a row of a round is: a piece with its place, a piece without, a gap that may meet pieces of other parts, any other gap.
+PLACED, PIECE, GAP, REST = range(4)
+_ROUND = "state int, part int, id bigint, size bigint, rank bigint, sequence bigint, place bigint"
+
+
+def sweep(lengths: list[int], left: list[int], least: int) -> tuple[list[int], list[int]]:
+    """Best fit of lengths, longest first, into gaps of the sizes `left`, which is updated: the gap of each (-1: none takes it),
+    and that gap's size before. A gap cut to under `least` takes no more in this sweep."""
+    of_size: dict[int, list[int]] = {}
+    sizes = 0  # bit n: some gap has size n
+    for i in range(len(left) - 1, -1, -1):
+        of_size.setdefault(left[i], []).append(i)
+        sizes |= 1 << left[i]
+    gap_of, before = [-1] * len(lengths), [0] * len(lengths)
+    for k, n in enumerate(lengths):
+        fitting = sizes >> n
+        if not fitting:
+            continue
+        size = n + (fitting & -fitting).bit_length() - 1  # the successor: the smallest gap that takes it
+        gap = of_size[size].pop()
+        if not of_size[size]:
+            sizes ^= 1 << size
+        gap_of[k], before[k] = gap, size
+        left[gap] = size - n
+        if left[gap] >= least:
+            of_size.setdefault(left[gap], []).append(gap)
+            sizes |= 1 << left[gap]
+    return gap_of, before
+
+
+def across(parts: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Ranges of ranks that meet between the parts of a sweep.
+
+    parts, largest sizes first: (part, pieces left, longest of them, gaps left, smallest of them). Pieces take the gaps of the nearest
+    part before that has any, those of the lowest rank first, as many pieces a gap as surely fit.
+    Returns (part, first rank, rank after the last, part of the gaps, rank of the first gap, pieces a gap)."""
+    out, waiting = [], []
+    for part, pieces, longest, gaps, smallest in parts:
+        done = 0
+        while done < pieces and waiting:
+            where, first, after, room = waiting.pop()
+            each = room // longest
+            take = min(pieces - done, (after - first) * each)
+            out.append((part, done, done + take, where, first, each))
+            done += take
+            first += -(-take // each)
+            if first < after:
+                waiting.append((where, first, after, room))
+        if gaps:
+            waiting.append((part, 0, gaps, smallest))
+    return out
+
+
+def _swept(sorted_: DataFrame, capacity: int) -> DataFrame:
+    """One sweep of every part of range-sorted rows (id, size, piece)."""
+
+    def local(batches):
+        table = pa.Table.from_batches(batches)
+        if not len(table):
+            return
+        part = TaskContext.get().partitionId()
+        ids, size, piece = (table.column(c).to_numpy() for c in ("id", "size", "piece"))
+        least = max(int(size[-1]), 1)
+        lengths, own, gap_ids = size[piece], ids[piece], ids[~piece]
+        left = size[~piece].tolist()
+        gap_of, before = (np.array(x, np.int64) for x in sweep(lengths.tolist(), left, least))
+        left = np.array(left, np.int64)
+        got = gap_of >= 0
+        by_size = np.argsort(left, kind="stable")
+        by_size = by_size[left[by_size] > 0]
+        small = left[by_size] < least  # below this part's range: for the next round
+        rest, kept = by_size[small], by_size[~small]
+        zeros = lambda n: np.zeros(n, np.int64)
+        for state, i, z, rank, seq, place in (
+            (PLACED, own[got], lengths[got], zeros(got.sum()), gap_ids[gap_of[got]], capacity - before[got]),
+            (PIECE, own[~got], lengths[~got], np.arange((~got).sum()), zeros((~got).sum()), zeros((~got).sum())),
+            (GAP, gap_ids[kept], left[kept], np.arange(len(kept)), zeros(len(kept)), zeros(len(kept))),
+            (REST, gap_ids[rest], left[rest], zeros(len(rest)), zeros(len(rest)), zeros(len(rest))),
+        ):
+            cols = [pa.array(np.full(len(i), state), pa.int32()), pa.array(np.full(len(i), part), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x, pa.int64()) for x in (i, z, rank, seq, place))], names=[c.split()[0] for c in _ROUND.split(", ")])
+
+    return sorted_.mapInArrow(local, _ROUND)
+
+
+def _met(swept: DataFrame, ranges: list[tuple[int, int, int, int, int, int]], capacity: int) -> DataFrame:
+    """The pieces and gaps that a sweep left, after those of different parts have met: by rank, so that no two claims clash."""
+    shared = swept.sparkSession.sparkContext.broadcast(np.array(sorted(ranges), np.int64))  # two rows a part at most
+
+    def address(batches):
         table = shared.value
-        key = table[:, 0] * (1 << 40) + table[:, 1]
-        order_ = np.argsort(key, kind="stable")
-        key, table = key[order_], table[order_]
+        key = (table[:, 0] << 40) + table[:, 1]
         for b in batches:
-            length, r = np.asarray(b.column("length")), np.asarray(b.column(rank))
-            at = np.searchsorted(key, length * (1 << 40) + r, "right") - 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(table[at, 3] + r - table[at, 1]), pa.array(table[at, 4])], names=[*b.schema.names, "sequence_id", "offset"])
-
-    return with_rank.mapInArrow(place, schema).drop(rank)
+            state, part, rank = (np.asarray(b.column(c)).astype(np.int64) for c in ("state", "part", "rank"))
+            at = np.maximum(np.searchsorted(key, (part << 40) + rank, "right") - 1, 0)
+            _, first, after, where, gap, each = table[at].T
+            piece = state == PIECE
+            hit = piece & (table[at, 0] == part) & (rank >= first) & (rank < after)
+            # a piece without a gap stands alone
+            to = np.where(hit, where, np.where(piece, -1 - part, part))
+            nth = np.where(hit, gap + (rank - first) // np.maximum(each, 1), rank)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to), pa.array(nth)], names=[*b.schema.names, "to", "nth"])
+
+    rows = swept.where(F.col("state").isin(PIECE, GAP)).mapInArrow(address, plus(swept.schema, "to bigint, nth bigint"))
+    # a group is a gap and the pieces it takes, capacity + 1 rows at most
+    group = Window.partitionBy("to", "nth")
+    earlier = group.orderBy(F.desc("state"), "part", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    is_piece = F.col("state") == PIECE
+    length = F.when(is_piece, F.col("size")).otherwise(0)
+    room, gap = F.max(F.when(~is_piece, F.col("size"))).over(group), F.max(F.when(~is_piece, F.col("id"))).over(group)
+    rows = rows.select("*", gap.alias("g"), room.alias("room"), F.coalesce(F.sum(length).over(earlier), F.lit(0)).alias("taken"), F.sum(length).over(group).alias("total"))
+    placed = is_piece & (F.col("to") >= 0)
+    state = F.when(placed, PLACED).when(is_piece, PIECE).otherwise(REST)
+    left = F.when(is_piece, F.col("size")).otherwise(F.col("size") - F.col("total"))
+    return rows.select(state.cast("int").alias("state"), "part", "id", left.alias("size"), "rank", F.when(placed, F.col("g")).otherwise(0).alias("sequence"), F.when(placed, capacity - F.col("room") + F.col("taken")).otherwise(0).alias("place"))
+
+
+def placed(pieces: DataFrame, capacity: int = CAPACITY, most_rows: int = MOST_ROWS, few_rows: int = FEW_ROWS) -> DataFrame:
+    """(id, sequence, place) of pieces (id, size), which must be a stored table.
+
+    The driver sees counts by size and, of each part, how much it left; pieces and gaps stay distributed."""
+    spark = pieces.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    waiting = {n: c for n, c in pieces.groupBy("size").count().collect()}  # one row a length
+    gaps, sizes, sequences, tables = None, {}, 0, []
+    while waiting:
+        longest = max(waiting)
+        band = {n: c for n, c in waiting.items() if 2 * n > longest}
+        waiting = {n: c for n, c in waiting.items() if n not in band}
+        left = pieces.where(F.col("size").between(min(band), longest))
+        while band:
+            least = min(band)
+            rows = [left.select("id", "size", F.lit(True).alias("piece"))]
+            # pieces longer than every gap need at least so many new sequences
+            over = {n: c for n, c in band.items() if n > max(sizes, default=0)}
+            new = sum(c for n, c in over.items() if 2 * n > capacity) or -(-sum(n * c for n, c in over.items()) // capacity)
+            if new:
+                rows.append(spark.range(sequences, sequences + new).select("id", F.lit(capacity).cast("long").alias("size"), F.lit(False).alias("piece")))
+                sequences += new
+            if any(n >= least for n in sizes):
+                rows.append(gaps.where(F.col("size") >= least).select("id", "size", F.lit(False).alias("piece")))
+            n_rows = sum(band.values()) + new + sum(c for n, c in sizes.items() if n >= least)
+            parts = max(1, min(n_rows // few_rows, cores), -(-n_rows // most_rows))
+            order = [F.desc("size"), "piece", "id"]
+            swept = _swept(reduce(DataFrame.union, rows).repartitionByRange(parts, *order).sortWithinPartitions(*order), capacity)
+            smallest = min([least, *waiting])
+            idle = {n: c for n, c in sizes.items() if smallest <= n < least}
+            if idle:
+                number, none = F.lit(0).cast("int"), F.lit(0).cast("long")
+                swept = swept.union(gaps.where(F.col("size").between(smallest, least - 1)).select(F.lit(REST).cast("int"), number, "id", "size", none, none, none))
+            swept = stored(swept, "swept")
+            tables.append(swept)
+            of = lambda state, c: F.when(F.col("state") == state, F.col(c))
+            counts = [F.count(of(PIECE, "id")), F.max(of(PIECE, "size")), F.count(of(GAP, "id")), F.min(of(GAP, "size"))]
+            ranges = across([tuple(r) for r in swept.where(F.col("state").isin(PIECE, GAP)).groupBy("part").agg(*counts).orderBy("part").collect()])
+            after = swept
+            if ranges:
+                met = stored(_met(swept, ranges, capacity), "met")
+                tables.append(met)
+                after = met.union(swept.where(F.col("state") == REST))
+            band, sizes = {}, {}
+            for piece, n, c in after.where(F.col("state") != PLACED).groupBy((F.col("state") == PIECE).alias("piece"), "size").count().collect():
+                (band if piece else sizes)[n] = c
+            left, gaps = after.where(F.col("state") == PIECE), after.where(F.col("state") >= GAP)
+    if not tables:
+        return spark.createDataFrame([], "id bigint, sequence bigint, place bigint")
+    out = stored(reduce(DataFrame.union, [t.where(F.col("state") == PLACED).select("id", "sequence", "place") for t in tables]), "placed")
+    free(*tables)
+    return out
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, most_rows: int = MOST_ROWS, few_rows: int = FEW_ROWS) -> DataFrame:
+    """pieces with sequence_id and offset. Pieces of one length take places in any order; repeated rows each get one."""
+    (number,) = fresh(pieces, "number")
+    numbered = stored(pieces.withColumn(number, F.monotonically_increasing_id()), "pieces")
+    places = placed(numbered.select(F.col(number).alias("id"), F.col("length").cast("long").alias("size")), capacity, most_rows, few_rows)
+    return numbered.join(places.select(F.col("id").alias(number), F.col("sequence").alias("sequence_id"), F.col("place").alias("offset")), number).drop(number)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, text: str = "text") -> DataFrame:
     """Every document's pieces with their places. Rows without doc_id are packed too; repeated rows each get a place."""
-    pieces = stored(pieces_of(docs, tokenizer, capacity, end_id, text), "cut")
-    return pack(pieces, capacity, ("doc_id", "piece", "ids_crc32"))
+    return pack(pieces_of(docs, tokenizer, capacity, end_id, text), capacity)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

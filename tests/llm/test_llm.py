@@ -600,15 +600,64 @@ def plain_best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_best_fit_is_the_sequential_one():
+def test_a_sweep_of_one_part_is_sequential_best_fit():
     rng = random.Random(5)
     for _ in range(40):
-        lengths = [min(64, int(rng.expovariate(1 / 15)) + 1) for _ in range(rng.randrange(1, 200))]
-        classes = {n: lengths.count(n) for n in set(lengths)}
-        placed = packing.best_fit(classes, 64)
-        assert 1 + max(s + hi - lo - 1 for _, lo, hi, s, _ in placed) == plain_best_fit(sorted(lengths, reverse=True), 64)
-        for n, c in classes.items():
-            assert sorted(r for m, lo, hi, _, _ in placed if m == n for r in range(lo, hi)) == list(range(c))
+        lengths = sorted((min(64, int(rng.expovariate(1 / 15)) + 1) for _ in range(rng.randrange(1, 200))), reverse=True)
+        start = [rng.randrange(1, 65) for _ in range(rng.randrange(60))]
+        left, plain = list(start), list(start)
+        gap_of, before = packing.sweep(lengths, left, 1)
+        for n, gap, room in zip(lengths, gap_of, before):
+            best = min((g for g in plain if g >= n), default=None)
+            assert (gap == -1) == (best is None)
+            if gap >= 0:
+                assert room == plain[gap] == best
+                plain[gap] -= n
+        assert left == plain
+
+
+def test_across_takes_each_rank_once():
+    rng = random.Random(6)
+    for _ in range(50):
+        parts, size = [], 2000
+        for p in range(rng.randrange(1, 8)):
+            smallest = rng.randrange(size // 2, size) if size > 2 else 1
+            longest = rng.randrange(max(smallest // 2, 1), smallest + 1)
+            parts.append((p, rng.randrange(40), longest, rng.randrange(5), smallest))
+            size = longest
+        pieces, gaps = set(), {}
+        for part, first, after, where, gap, each in packing.across(parts):
+            assert where < part and each * parts[part][2] <= parts[where][4]
+            for r in range(first, after):
+                assert (part, r) not in pieces and r < parts[part][1]
+                pieces.add((part, r))
+                at = (where, gap + (r - first) // each)
+                assert at[1] < parts[where][3] and gaps.setdefault(at, part) == part
+        # a piece stays only where every gap before it is taken
+        for part, n, *_ in parts:
+            if any((part, r) not in pieces for r in range(n)):
+                assert all((w, g) in gaps for w in range(part) for g in range(parts[w][3]))
+
+
+@pytest.mark.parametrize("kind", ["falling", "thirds", "ones", "whole"])
+def test_rounds_over_many_parts(spark, kind):
+    rng = random.Random(7)
+    make = {"falling": lambda: min(256, int(rng.expovariate(1 / 60)) + 1), "thirds": lambda: rng.choice([85, 86, 40, 128]), "ones": lambda: 1, "whole": lambda: 256}[kind]
+    lengths = [make() for _ in range(1500)]
+    pieces = common.stored(spark.createDataFrame(list(enumerate(lengths)), "id bigint, size bigint"), "test")
+    rows = packing.placed(pieces, 256, most_rows=200, few_rows=50).collect()
+    assert sorted(r["id"] for r in rows) == list(range(1500))
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence"], []).append((r["place"], lengths[r["id"]]))
+    for own in sequences.values():
+        at = 0
+        for place, length in sorted(own):
+            assert place == at
+            at += length
+        assert at <= 256
+    # as few as sequential best fit, but for the last sequences of a part
+    assert len(sequences) <= 1.02 * plain_best_fit(sorted(lengths, reverse=True), 256) + 1
 
 
 # -- 9 Jaccard join
