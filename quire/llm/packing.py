@@ -167,8 +167,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(cut, out)
 
 
-#: Rows of pieces and gaps that one task sweeps at most, and those for which another task is not worth while.
-MOST_ROWS, FEW_ROWS = 1 << 20, 1 << 12
+#: Rows of pieces and gaps that one task sweeps at most, and those for which another task is not worth while (30 ms of sweeping).
+MOST_ROWS, FEW_ROWS = 1 << 20, 1 << 14
 #: What a row of a round is: a piece with its place, a piece without, a gap that may meet pieces of other parts, any other gap.
 PLACED, PIECE, GAP, REST = range(4)
 _ROUND = "state int, part int, id bigint, size bigint, rank bigint, sequence bigint, place bigint"
@@ -313,7 +313,10 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, most_rows: int = MOST_RO
             n_rows = sum(band.values()) + new + sum(c for n, c in sizes.items() if n >= least)
             parts = max(1, min(n_rows // few_rows, cores), -(-n_rows // most_rows))
             order = [F.desc("size"), "piece", "id"]
-            swept = _swept(reduce(DataFrame.union, rows).repartitionByRange(parts, *order).sortWithinPartitions(*order), capacity)
+            mixed = reduce(DataFrame.union, rows)
+            # few rows are one part, with no ranges to tell apart
+            mixed = mixed.repartitionByRange(parts, *order) if parts > 1 else mixed.repartition(1)
+            swept = _swept(mixed.sortWithinPartitions(*order), capacity)
             smallest = min([least, *waiting])
             idle = {n: c for n, c in sizes.items() if smallest <= n < least}
             if idle:
