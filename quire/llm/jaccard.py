@@ -260,24 +260,36 @@ def _stars(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return [(x, top(x)) for x in list(parent) if top(x) != x]
 
 
-def _shared(values_a, off_a, values_b, off_b) -> np.ndarray:
-    """How many shingles each row of a has in common with each row of b."""
-    na, nb = np.diff(off_a), np.diff(off_b)
-    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-    oa, ob = np.argsort(values_a, kind="stable"), np.argsort(values_b, kind="stable")
-    va, vb, ra, rb = values_a[oa], values_b[ob], ra[oa], rb[ob]
-    common = np.intersect1d(va, vb)
-    la, ha = np.searchsorted(va, common, "left"), np.searchsorted(va, common, "right")
+#: Counts of pairs of rows, and matches of single shingles, that are held at once.
+_PAIRS, _MATCHES = 1 << 19, 1 << 20
+
+
+def _ordered(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in order, and the row of each."""
+    order = np.argsort(values, kind="stable")
+    return values[order], np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))[order]
+
+
+def _shared(va: np.ndarray, ra: np.ndarray, na: int, vb: np.ndarray, rb: np.ndarray, nb: int) -> np.ndarray:
+    """How many shingles each of na rows has in common with each of nb rows; both sides as _ordered gives them."""
+    common = va[np.diff(va, prepend=~va[:1]) != 0]
     lb, hb = np.searchsorted(vb, common, "left"), np.searchsorted(vb, common, "right")
-    counts = np.zeros((len(na), len(nb)), np.int32)
+    common, lb, hb = (x[hb > lb] for x in (common, lb, hb))
+    la, ha = np.searchsorted(va, common, "left"), np.searchsorted(va, common, "right")
+    counts = np.zeros((na, nb), np.int32)
     size = (ha - la) * (hb - lb)
-    few = size <= 64
-    if few.any():  # many short lists at once
-        wa, wb = (ha - la)[few], (hb - lb)[few]
-        pa_ = np.repeat(ragged(la[few], wa), np.repeat(wb, wa))
-        pb_ = ragged(np.repeat(lb[few], wa), np.repeat(wb, wa))
-        np.add.at(counts.ravel(), ra[pa_] * len(nb) + rb[pb_], 1)
-    for k in np.flatnonzero(~few).tolist():
+    few = np.flatnonzero(size <= 64)
+    ends = np.cumsum(size[few])
+    at = 0
+    while at < len(few):  # many short lists at once
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _MATCHES, "right")))
+        k = few[at:to]
+        wa, wb = (ha - la)[k], (hb - lb)[k]
+        pa_ = np.repeat(ragged(la[k], wa), np.repeat(wb, wa))
+        pb_ = ragged(np.repeat(lb[k], wa), np.repeat(wb, wa))
+        np.add.at(counts.ravel(), ra[pa_].astype(np.int64) * nb + rb[pb_], 1)
+        at = to
+    for k in np.flatnonzero(size > 64).tolist():
         counts[np.ix_(ra[la[k] : ha[k]], rb[lb[k] : hb[k]])] += 1
     return counts
 
@@ -306,16 +318,19 @@ def _compare(percent: int, heads: bool):
             return types.empty_table()
         (ca, na, va, oa), (cb, nb, vb, ob) = sides[0], sides[-1]
         found: list[tuple[int, int]] = []
-        step = max(1, 4_000_000 // max(1, len(cb)))
+        step = max(1, _PAIRS // max(1, len(cb)))
+        vs, rs = _ordered(vb, ob)
         for i in range(0, len(ca), step):  # a count matrix of bounded size
             j = min(len(ca), i + step)
             values, off, size = va[oa[i] : oa[j]], oa[i : j + 1] - oa[i], na[i:j]
-            common = _shared(values, off, vb, ob).astype(np.int64)
+            common = _shared(*_ordered(values, off), j - i, vs, rs, len(cb)).astype(np.int64)
             if heads:  # what is beyond the shorter head may all be common
                 common += np.minimum(size[:, None] - _below(values, off, size, vb, ob, nb), nb[None, :] - _below(vb, ob, nb, values, off, size).T)
             x, y = np.nonzero(100 * common >= percent * (size[:, None] + nb[None, :] - common))
             keep = ca[i + x] != cb[y]
             found += _stars(ca[i + x][keep].tolist(), cb[y][keep].tolist())
+            if len(found) > _PAIRS:
+                found = _stars([p for p, _ in found], [q for _, q in found])
         found = _stars([p for p, _ in found], [q for _, q in found])
         return pa.table({"a": [p for p, _ in found], "b": [q for _, q in found], "done": [done] * len(found)}, schema=types)
 

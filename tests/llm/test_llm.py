@@ -806,3 +806,19 @@ def test_contaminated_rows_go_whatever_their_id(spark, tmp_path):
     rows = [(None, "before " + item, "en", "s", 1), (None, "clean", "en", "s", 1), (7, item, "en", "s", 1), (7, "clean too", "en", "s", 1), (7, "clean too", "en", "s", 1), (8, None, None, None, None), (9, "", "en", "s", 0)]
     out = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, DOCS), f"file://{tmp_path}").collect()
     assert table(tuple(r) for r in out) == table([rows[1], *rows[3:]])
+
+
+def test_meeting_of_near_copies_is_bounded():
+    """A block of sets that are all linked: the links of all pairs are never held at once."""
+    import tracemalloc
+
+    base = np.arange(1, 31, dtype=np.uint64) << np.uint64(40)
+    sets = [np.append(base, np.uint64((1 << 62) + i)) for i in range(2400)]
+    n = len(sets)
+    table = pa.table({"b1": [0] * n, "b2": [1] * n, "sure": [True] * n, "nb": [2] * n, "own": [i % 2 for i in range(n)], "cid": list(range(n)), "n": [31] * n, "items": jaccard._list(sets)})
+    tracemalloc.start()
+    out = jaccard._compare(85, False)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(out["a"].to_pylist(), out["b"].to_pylist())) == [(i, 0) for i in range(1, n)]
+    assert peak < 100e6
