@@ -15,28 +15,40 @@ from ..operators.evaluate import block_key, scan
 from ..operators.routing import route
 from ..sources import read_rows, select_pages, write_run
 from ..text import font_safe, once, strip
-from ..work import stored
+from ..work import in_place, stored, together
 
 
-def extract(raw: DataFrame, tables: DataFrame) -> DataFrame:
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def extract(raw: DataFrame, tables: DataFrame, n: int | None = None) -> DataFrame:
     """Blocks of raw text blocks in reading order (doc_id, page_index, block_no, line_no): kind, text, spans, box and indent.
 
     Blocks in tables, formulas, links and texts of one character are left out. A contents block gives one block a line. On
-    pages of mostly single lines these become paragraphs. Words that hyphens cut are put together again by the words of the document."""
+    pages of mostly single lines these become paragraphs. Words that hyphens cut are put together again by the words of the document.
+    n: the number of parts by document that raw has (work.together); without it rows are moved once."""
+    if n is None:
+        n = _parts(raw.sparkSession)
+        raw = together(raw.repartition(n, "doc_id"), "raw", n)
     raw_line = lambda x: X.line_text(x["spans"], False)
     texts = F.filter(F.transform("lines", lambda x: X.line_text(x["spans"])), lambda t: t != "")
     flat = raw.where("type = 0").select("doc_id", "page_index", "block_no", "bbox.*", "lines", F.transform("lines", raw_line).alias("raw_lines"), texts.alias("texts"))
     words = X.spoken(flat, "doc_id", F.explode("raw_lines"))
-    free = X.join_blocks(X.outside_tables(flat, tables), "texts", [*X.PAGE, "block_no"], words)
-    kinds = once(free, kind=X.block_kind(F.col("raw_lines"), F.col("text"), F.lit(False))).where(~F.col("kind").isin(*X.SKIPPED))
-    # the three ways that blocks take from here start from one table
-    kinds = stored(X.merge_mode(kinds).withColumn("spans", F.flatten("lines.spans")), "blocks")
+    free = X.outside_tables(X.join_blocks(flat, "texts", [*X.PAGE, "block_no"], words), tables)
+    kinds = X.merge_mode(once(free, kind=X.block_kind(F.col("raw_lines"), F.col("text"), F.lit(False))).where(~F.col("kind").isin(*X.SKIPPED)))
+    toc = F.col("kind") == "toc"
+    text = F.when(F.col("kind") == "tocln", strip(F.get("raw_lines", F.lit(0)))).when(F.col("kind") != "single", F.col("text")).alias("text")
+    # the three ways that blocks take from here start from one table; a single line's text is that of its spans
+    kept = kinds.select(*X.PAGE, "block_no", "x0", "y0", "x1", "y1", "kind", "merge", text, F.when(toc, F.col("lines")).alias("lines"), F.when(~toc, F.flatten("lines.spans")).alias("spans"))
+    with in_place(raw.sparkSession):
+        kinds = together(kept, "blocks", n).withColumn("text", F.coalesce("text", X.line_text(F.col("spans"))))
+        paragraphs = stored(X.paragraph_blocks(kinds, words), "paragraphs")
     out = ["doc_id", "page_index", "block_no", "line_no", "kind", "text", "spans", "x0", "y0", "x1", "y1", "indent"]
     merged = F.col("merge") & (F.col("kind") == "single")
-    text = F.when(F.col("kind") == "tocln", strip(F.get("raw_lines", F.lit(0)))).otherwise(F.col("text"))
-    whole = kinds.where(~merged & (F.col("kind") != "toc")).withColumn("text", text).withColumn("line_no", F.lit(0)).withColumn("indent", F.lit(0.0))
+    whole = kinds.where(~merged & (F.col("kind") != "toc")).withColumn("line_no", F.lit(0)).withColumn("indent", F.lit(0.0))
     contents = X.contents_lines(kinds.where("kind = 'toc'"))
-    return whole.select(*out).unionByName(contents.select(*out)).unionByName(X.paragraph_blocks(kinds, words).select(*out))
+    return whole.select(*out).unionByName(contents.select(*out)).unionByName(paragraphs.select(*out))
 
 
 def translate(blocks: DataFrame, glossary: DataFrame, key: list[str], text: str = "text", engine: Callable[[], object] = Identity) -> DataFrame:
@@ -101,10 +113,11 @@ def run_job(
     parsers: functions from a file's bytes to rows of "blocks" and, where there are any, of "tables", "images", "drawings" and "pages"."""
     read = {kind: read_rows(spark, path, kind, parse) for kind, parse in parsers.items()}
     empty = lambda kind: read.get(kind) if kind in read else spark.createDataFrame([], read_rows.schemas[kind])
-    found = stored(read["blocks"], "raw")
+    n = _parts(spark)
+    found = together(read["blocks"].repartition(n, "doc_id"), "raw", n)
     failed = found.where("error IS NOT NULL").select("doc_id", "error")
     raw = found.where("error IS NULL").drop("error")
-    blocks = extract(raw, empty("tables"))
+    blocks = extract(raw, empty("tables"), n)
     if pages:
         blocks = select_pages(blocks, raw.select("doc_id", "page_index").distinct(), pages)
     check_job(src, tgt, blocks)

@@ -271,3 +271,14 @@ def test_writers(spark, tmp_path):
     assert (tmp_path / "a.txt").read_text() == "y" and (tmp_path / "b.txt").read_text() == "zx"
     sources.write_run(df, f"file://{tmp_path}/run", {"label": "r", "n_blocks": 3})
     assert spark.read.json(f"file://{tmp_path}/run/blocks").count() == 3
+
+
+def test_extraction_keeps_documents_together(spark, sf_dir):
+    """What is written for extract_blocks holds the rows of a document in one part, so that nothing made of it is moved: moved blocks
+    with their spans were many times the input."""
+    from quire import queries as Q
+
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    plan = Q.QUERIES["extract_blocks"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and spark.conf.get(key) == before
