@@ -6,7 +6,8 @@ their words (match 2, mismatch -1, gap -1) has the threshold's share of what a f
 few words must be there whole. What is looked up only saves work, no match is lost:
 such an alignment has at least `need` of the item's words within `span` words of the document. The most
 frequent words of an item (counted over the whole corpus) are left out while they are fewer than `need`;
-the rest of `need` must be met among its other words, the seeds. Where they are, every word of the
+the rest of `need` must be met among its other words, the seeds. A stretch of L words with h seeds scores at
+most 3 (h + left out) - L, as a match adds 2 and any other word of it -1. Where this can do, every word of the
 document counts 2 if the item has it, else -1: an alignment's score is at most the best sum of a stretch.
 """
 
@@ -83,6 +84,8 @@ class Items:
                     seeds.append(u[k])
             item.append(np.full(len(seeds), i))
             word.append(np.array(seeds, np.int64))
+        # what 3 a seed less 1 a word must come to between an alignment's first seed and its last one
+        self.close = self.least - 3 * (self.need - self.rest)
         item, word = np.concatenate(item), np.concatenate(word)
         self.item = item[np.argsort(word, kind="stable")]
         self.size = np.bincount(word, minlength=len(self.vocab) + 1)
@@ -136,6 +139,14 @@ def _windows(items: Items, code: np.ndarray, first: np.ndarray):
         last = last[k]
         k_ok = (item[last] == item[k]) & (row[last] == row[k]) & (place[last] - place[k] < items.span[item[k]])
         k, last = k[k_ok], last[k_ok]
+        if len(k):
+            # the best last seed for each first one: a running maximum from behind, each item and row above those after it
+            gain = 3 * np.arange(len(key)) - place
+            group = np.cumsum(np.append(0, (item[1:] != item[:-1]) | (row[1:] != row[:-1])))
+            step = int(gain.max() - gain.min()) + 1
+            best = np.maximum.accumulate((gain - group * step)[::-1])[::-1] + group * step
+            near = best[last] - gain[k] + 2 >= items.close[item[k]]
+            k, last = k[near], last[near]
         item, row, span = item[k], row[k], items.span[item[k]]
         a = np.maximum(place[last] - span + 1, first[row])
         z = np.minimum(place[k] + span, first[row + 1])

@@ -822,3 +822,31 @@ def test_meeting_of_near_copies_is_bounded():
     tracemalloc.stop()
     assert sorted(zip(out["a"].to_pylist(), out["b"].to_pylist())) == [(i, 0) for i in range(1, n)]
     assert peak < 100e6
+
+
+def test_seeds_far_apart_are_not_aligned():
+    """op6: an item's seeds that no alignment could join give no window; every alignment that reaches the threshold is still found."""
+    from quire.llm import decontam as D
+
+    rng = np.random.default_rng(5)
+    items = D.Items([0], [np.arange(1, 41, dtype=np.uint64)], D.Settings())
+    items.seed(np.zeros(40, np.int64), 0.75)
+    rest = int(items.rest[0])
+    seeds = items.vocab[np.flatnonzero(items.size)][:rest]
+    apart = np.full(15 * rest, 99, np.uint64)
+    apart[::15] = seeds
+    assert 15 * rest <= items.span[0]
+    assert D._windows(items, items.coded(apart), np.array([0, len(apart)])) is None
+
+    texts = [np.arange(1, 1 + n, dtype=np.uint64) for n in (3, 6, 9, 25, 40)]
+    items = D.Items(list(range(5)), texts, D.Settings())
+    items.seed(rng.integers(0, 50, len(items.vocab)), 0.75)
+    rows = []
+    for k in range(400):
+        t = texts[k % 5]
+        t = t[rng.random(len(t)) < rng.uniform(0.3, 1)]
+        t = np.insert(t, rng.integers(0, len(t) + 1, rng.integers(0, 25)), rng.integers(1, 90, 1)[0])
+        rows.append(np.concatenate([rng.integers(1, 90, 9), t, rng.integers(1, 90, 9)]).astype(np.uint64))
+    first = np.cumsum([0, *map(len, rows)])
+    want = {(r, i) for r, t in enumerate(rows) for i, w in enumerate(items.words) if D.align(w, items.coded(t)[None])[0] * 2 * len(w) >= items.least[i]}
+    assert 100 < len(want) < 2000 and {(r, i) for r, i, _ in D._found(items, np.concatenate(rows), first)} == want
